@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenfare.llm.common import connected_components, durable, prepare, shingle_sets
+from lumenfare.llm.common import connected_components, durable, prepare, shingle_sets, stored
 
 #: Shingles that one counting group holds, about.
 RANGE = 1 << 20
@@ -135,23 +135,35 @@ def _signatures(shared, percent: int):
     return emit
 
 
+#: Bytes of each shingle's hash that a set travels with to be verified: in a pair of sets of a thousand shingles, one
+#: in 10**8 has a shingle too many in common.
+ITEM = 6
+
+
 def _sets(wanted):
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = wanted.value
         for pdf in frames:
             at = pdf.bucket.to_numpy(np.int64)
             pdf = pdf[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            yield pd.DataFrame({"cls": pdf.doc_id, "items": [s.tobytes() for s in shingle_sets(pdf.text.tolist())]})
+            items = [s.view(np.uint8).reshape(-1, 8)[:, :ITEM].tobytes() for s in shingle_sets(pdf.text.tolist())]
+            yield pd.DataFrame({"cls": pdf.doc_id, "items": items})
 
     return emit
 
 
+def _unpacked(items: bytes) -> np.ndarray:
+    out = np.zeros((len(items) // ITEM, 8), np.uint8)
+    out[:, :ITEM] = np.frombuffer(items, np.uint8).reshape(-1, ITEM)
+    return out.view(np.uint64).ravel()
+
+
 def _overlap(percent: int):
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = _unpacked(x), _unpacked(y)
             both = len(x) + len(y) - len(np.union1d(x, y))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
@@ -176,45 +188,50 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     spark = prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(_statistics(texts.select("text")))
-    marks = durable(texts.mapInPandas(_signatures(shared, percent), "doc_id long, n int, h1 long, h2 long, hist array<int>, ps array<long>, pp array<int>"))
+    marks = stored(texts.mapInPandas(_signatures(shared, percent), "doc_id long, n int, h1 long, h2 long, hist array<int>, ps array<long>, pp array<int>"))
     key = ["n", "h1", "h2"]
-    classes = durable(marks.where("n > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("cls"), F.first("hist").alias("hist"), F.first("ps").alias("ps"), F.first("pp").alias("pp")))
+    classes = stored(marks.where("n > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("cls"), F.first("hist").alias("hist"), F.first("ps").alias("ps"), F.first("pp").alias("pp")))
     if not classes.take(1):
         return marks.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
     by = W.partitionBy("shingle")
     posted = classes.select("cls", "n", F.explode(F.arrays_zip("ps", "pp")).alias("p")).select("cls", "n", F.col("p.ps").alias("shingle"), F.col("p.pp").alias("pos"))
-    lists = durable(posted.withColumns({"lead": F.min(F.struct("cls", "n", "pos")).over(by), "last": F.max("cls").over(by)}).where("lead.cls < last").select("shingle", "cls", "n", "pos", "lead"))
-
-    wanted = np.zeros(1 << (WANTED - 3), np.uint8)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED))
-    at = lists.select((F.pmod(F.xxhash64("cls"), F.lit(1 << WANTED)) + 1).alias("x"))  # these functions count from 1
-    for number, bits in at.groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect():
-        _place(wanted, number, bits)
-    sets = texts.where("doc_id is not null").withColumn("bucket", bucket).mapInPandas(_sets(spark.sparkContext.broadcast(wanted)), "cls long, items binary")
+    lead = F.min(F.struct("cls", "n", "pos")).over(by)
+    lists = posted.withColumns({"lead": lead, "last": F.max("cls").over(by)}).where("lead.cls < last")
+    lists = stored(lists.select("shingle", "cls", "n", "pos", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")))
+
     sizes = classes.select("cls", "n", "hist")
-    sets = durable(sets.join(lists.select("cls").distinct(), "cls", "left_semi"))
     linked = _overlap(percent)
+    addressed = texts.where("doc_id is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED)))
+
+    def sets(ids: DataFrame) -> DataFrame:
+        """(cls, items) of the documents named in the one column of ids, and of a few others: a bitmap of the ids goes
+        to the scan, so that texts never move."""
+        wanted = np.zeros(1 << (WANTED - 3), np.uint8)
+        at = ids.toDF("cls").select((F.pmod(F.xxhash64("cls"), F.lit(1 << WANTED)) + 1).alias("x"))  # these functions count from 1
+        for number, bits in at.groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect():
+            _place(wanted, number, bits)
+        return addressed.mapInPandas(_sets(spark.sparkContext.broadcast(wanted)), "cls long, items binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those that pass the suffix filter and link."""
+        """Of distinct pairs (a, b), those that pass the suffix filter and link; sets of b move twice, of a once."""
         x = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
         apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-        x = x.where(apart <= F.col("na") + F.col("nb") - 2 * _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        x = x.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b")
-        return durable(x.where(linked("ia", "ib")).select("a", "b"))
+        x = stored(x.where(apart <= F.col("na") + F.col("nb") - 2 * _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b"))
+        y = x.join(sets(x.select("b")).toDF("b", "ib"), "b").join(sets(x.select("a")).toDF("a", "ia"), "a")
+        return stored(y.where(linked("ia", "ib")).select("a", "b"))
 
     def possible(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
         """Length and positional filters at the first shingle that two sets have in common."""
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa, nb - pb) >= _least_overlap(na, nb, percent))
 
-    lead = lists.where("cls <> lead.cls").where(possible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    best = lead.groupBy(F.col("cls").alias("b"), F.col("lead.cls").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("m"))
-    star = verified(best.select((-F.col("m.col2")).alias("a"), "b"))
+    led = lists.where("cls <> lead").where(possible(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
+    best = led.groupBy(F.col("cls").alias("b"), F.col("lead").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("m"))
+    star = verified(best.select((-F.col("m.a")).alias("a"), "b"))
     first = durable(connected_components(star))
 
     comp = lists.select("shingle", "cls", "n", "pos").join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    open_ = durable(comp.withColumns({"low": F.min("comp").over(by), "high": F.max("comp").over(by)}).where("low < high").select("shingle", "cls", "n", "pos", "comp"))
+    open_ = stored(comp.withColumns({"low": F.min("comp").over(by), "high": F.max("comp").over(by)}).where("low < high").select("shingle", "cls", "n", "pos", "comp"))
     l, r = open_.alias("l"), open_.alias("r")
     pairs = l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
     rest = verified(pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct())
