@@ -1,17 +1,14 @@
-"""Collects the named queries of the library's modules, each with the SQL that states the same result."""
+"""Collects the named queries of the library's plans, each with the SQL that states the same result."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from lumenfare.plans import catalog, features, ingest, recommend, streams, texts, training  # noqa: F401
+from lumenfare.plans.query import ORACLE, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
