@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents that one group exchanges mass among, at most.
 GROUP = 64
+#: Tables of one row per source are broadcast up to so many sources, a few MB; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 #: A fraction this near to 0 or 1 is whole.
 NEAR = 1e-9
 _ITEM = "struct<k:bigint,doc_id:bigint,size:bigint,f:double>"
@@ -99,8 +101,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     sources = durable(target_words(rows, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumn("base", F.floor(rate + NEAR).cast("int")).withColumn("f", F.greatest(F.lit(0.0), rate - F.col("base")))
-    most_docs = sources.agg(F.max("docs")).first()[0] or 0
-    s = sources.withColumnRenamed("source", "source_")
+    most_docs, n_sources = sources.agg(F.max("docs"), F.count("*")).first()
+    most_docs = most_docs or 0
+    side = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
+    s = side(sources.withColumnRenamed("source", "source_"))
     rows = rows.join(s, F.col("source").eqNullSafe(F.col("source_")))
     open_ = (F.col("f") > NEAR) & (F.col("size") > 0)
     items = rows.where(open_).select("number", "docs", F.abs(F.xxhash64("doc_id", "size", F.lit(seed))).alias("k"), "doc_id", "size", "f", (F.col("size") * F.col("docs") > F.col("source_size")).alias("large"))
@@ -108,11 +112,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     small = items.where("not large").drop("large")
     spread = sources.select("number").join(large.groupBy("number").agg(F.sum("off").alias("off")), "number", "left").join(small.groupBy("number").agg(F.sum("size").alias("words")), "number", "left")
     spread = durable(spread.select("number", F.coalesce(F.col("off") / F.col("words"), F.lit(0.0)).alias("shift")))
-    shifted = small.join(spread, "number").withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - F.col("shift")))).drop("shift")
+    shifted = small.join(side(spread), "number").withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - F.col("shift")))).drop("shift")
     out = large.unionByName(_rounded(shifted, most_docs, seed + 100)).select("number", "doc_id", "size", "up")
     out = out.unionByName(rows.where(~open_).select("number", "doc_id", "size", F.lit(0).alias("up")))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("up")).otherwise(0)
-    return out.join(sources, "number").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return out.join(side(sources), "number").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
 
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:

@@ -100,7 +100,8 @@ def references(documents: DataFrame) -> pd.DataFrame:
                 for i in np.flatnonzero(np.diff(w.first) >= LEAST_WORDS):
                     if lang := langs[begin + i]:
                         sums[lang] = sums[lang] + share[i] if lang in sums else share[i]
-        yield pd.DataFrame({"lang": list(sums), "share": [s.tolist() for s in sums.values()]}, columns=["lang", "share"])
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "share": [s.tolist() for s in sums.values()]})
 
     parts = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInPandas(emit, "lang string, share array<double>")
     rows = parts.select("lang", F.posexplode("share").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v")).toPandas()
