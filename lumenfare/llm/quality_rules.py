@@ -105,8 +105,10 @@ def references(documents: DataFrame) -> pd.DataFrame:
 
     parts = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInPandas(emit, "lang string, share array<double>")
     rows = parts.select("lang", F.posexplode("share").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v")).toPandas()
-    wide = rows.pivot(index="lang", columns="k", values="v").sort_index() if len(rows) else pd.DataFrame()
-    full = wide.to_numpy().reshape(len(wide), -1)
+    if rows.empty:
+        return pd.DataFrame(columns=["lang", "chars", "words"])
+    wide = rows.pivot(index="lang", columns="k", values="v").sort_index()
+    full = wide.to_numpy()
     return pd.DataFrame({"lang": list(wide.index), "chars": [r[:_CLASSES] / r[-1] for r in full], "words": [r[_CLASSES:-1] / r[-1] for r in full]}, columns=["lang", "chars", "words"])
 
 
