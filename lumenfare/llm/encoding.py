@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 
 #: Words remembered by one Python worker; past that it forgets all and begins anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 _ODD = ["\t", "\x00", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "  ", "\n\n", " \n", "\n ", "<|"]
 _ODD_WIDE = ["\x85", "\xa0", " ", "᠎", *map(chr, range(0x2000, 0x2010)), " ", " ", " ", " ", "　", "﻿"]
 
@@ -32,11 +32,12 @@ class _Words(dict):
 
     def __init__(self, tokenizer, prefix: str, lower: bool):
         self.tokenizer, self.prefix, self.lower = tokenizer, prefix, lower
+        self.marks = {m: self._any(m) for m in (".", ",")}
 
     def _core(self, word: str) -> bytes:
         """A word of Latin letters is one pre-token, so the tokenizer's model takes it directly."""
         if self.lower:
-            word = unicodedata.normalize("NFC", word).lower()
+            word = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
         letters = (self.prefix + word).encode().decode("latin-1").translate(_LETTERS)
         return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
 
@@ -44,9 +45,10 @@ class _Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        core = word[:-1] if word[-1:] in (".", ",") else word
-        if core.isalpha() and max(core) < "ɐ":
-            ids = self._core(core) if core is word else self[core] + self._any(word[-1])
+        mark = self.marks.get(word[-1:])
+        core = word if mark is None else word[:-1]
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            ids = self._core(core) if mark is None else self[core] + mark
         else:
             ids = self._any(self.prefix + word)
         self[word] = ids

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenfare.llm.common import prepare
+from lumenfare.llm.common import durable, prepare
 from lumenfare.llm.encoding import encoder
 
 BLOCK_IDS = 1 << 16
 #: Characters of text that a part of the store holds, about.
 PART_CHARS = 1 << 24
+#: Places of so many parts are broadcast, a few MB; of more, joined by shuffle.
+BROADCAST_PARTS = 200_000
 _BLOCKS = "part int, block int, first long, width int, doc_ids array<bigint>, offsets array<bigint>, payload binary"
 
 
@@ -91,7 +93,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     One row per part is summed up in one task, to place the parts; blocks are unpacked where they are read.
     """
     blocks = spark.read.schema(_BLOCKS).parquet(path)
-    ends = blocks.groupBy("part").agg(F.max(F.col("first") + F.element_at("offsets", -1)).alias("ids"))
+    ends = durable(blocks.groupBy("part").agg(F.max(F.col("first") + F.element_at("offsets", -1)).alias("ids")))
     base = ends.select("part", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +104,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 out["ids_crc32"] = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield out
 
-    placed = blocks.join(base, "part").select((F.col("base") + F.col("first")).alias("begin"), "width", "doc_ids", "offsets", "payload")
+    side = F.broadcast(base) if ends.count() <= BROADCAST_PARTS else base
+    placed = blocks.join(side, "part").select((F.col("base") + F.col("first")).alias("begin"), "width", "doc_ids", "offsets", "payload")
     return placed.mapInPandas(emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

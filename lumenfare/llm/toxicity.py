@@ -113,7 +113,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     chosen = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = durable(texts.join(chosen, "doc_id"))
+    sample = durable(texts.join(F.broadcast(chosen), "doc_id"))  # MOST_LABELLED rows at most
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
