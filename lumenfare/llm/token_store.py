@@ -83,7 +83,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1
         if ids:
             yield row()
 
-    dealt = texts.repartitionByRange(max(1, -(-chars // PART_CHARS)), F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    dealt = texts.repartitionByRange(max(1, -(-chars // PART_CHARS)), F.asc_nulls_first("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     dealt.mapInPandas(emit, _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
