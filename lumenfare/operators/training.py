@@ -36,9 +36,9 @@ def split(df: DataFrame, by: str, order: list, share: float = 0.8) -> DataFrame:
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC AUC by mean ranks of tied scores, from counts per distinct score, and average precision."""
-    c = df.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    below = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    above = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
+    c = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    below = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    above = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     c = c.withColumns({"qb": F.coalesce(F.sum("q").over(below), F.lit(0)), "cp": F.sum("p").over(above), "cq": F.sum("q").over(above)})
     return c.agg((F.sum(F.col("p") * (F.col("qb") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("roc_auc"), (F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq"))) / F.sum("p")).alias("pr_auc"))
 
