@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenfare.functions import scores as S
+from lumenfare.operators.sequence import walked
 
 # The weight of each kind of interaction.
 WEIGHTS = {"like": 1.0, "going": 2.0, "went": 1.5, "save": 0.8, "dislike": -0.5}
@@ -55,23 +58,14 @@ def diversity_penalty(candidates: DataFrame, factor: float = 0.1) -> DataFrame:
 
 def anchored_windows(df: DataFrame, user: str, at: str, hours: int = 24) -> DataFrame:
     """df with win, the start of its window: a user's window opens at the first row that is later than `hours` after
-    the last window's opening. One pass over a user's sorted rows in Arrow batches; one user is one group."""
-    import pandas as pd
-
-    span = pd.Timedelta(hours=hours)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, "id"])
-        start, out = None, []
-        for t in pdf[at]:
-            if start is None or t - start > span:
-                start = t
-            out.append(start)
-        return pdf.assign(win=out)
+    the last window's opening. Ties in time stand in order of `id`."""
+    span = timedelta(hours=hours)
 
-    from pyspark.sql import types as T
+    def step(start, t):
+        start = t if start is None or t - start > span else start
+        return start, start
 
-    return df.groupBy(user).applyInPandas(walk, T.StructType([*df.schema.fields, T.StructField("win", df.schema[at].dataType)]))
+    return walked(df, user, at, "id", "win", df.schema[at].dataType, step)
 
 
 def cooccurrence(windowed: DataFrame, user: str) -> DataFrame:

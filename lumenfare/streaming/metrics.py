@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from lumenfare.operators.sequence import walked
 
 
 def stream(spark: SparkSession, folder: str, schema: T.StructType, files: int = 1, glob: str = "*") -> DataFrame:
@@ -31,21 +35,16 @@ def running_counts(events: DataFrame) -> DataFrame:
 def limit_rate(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """(id, user_id, ts, allowed): a request passes if fewer than `most` that passed lie less than `seconds` before it.
 
-    Refused requests do not count. The log of one user holds `most` times at most.
+    Refused requests do not count. The log of one user holds `most` times at most, and nothing else of a user is held.
     """
+    span = timedelta(seconds=seconds)
 
-    def walk(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(frames).sort_values(["ts", "id"])
-        log, ok, span = [], [], pd.Timedelta(seconds=seconds)
-        for t in pdf.ts:
-            log = [x for x in log if t - x < span]
-            ok.append(len(log) < most)
-            if ok[-1]:
-                log.append(t)
-        yield pdf.assign(allowed=ok)
+    def step(log, t):
+        log = [x for x in log or [] if t - x < span]
+        ok = len(log) < most
+        return log + [t] if ok else log, ok
 
-    df = events.select("id", "user_id", "ts")
-    return df.groupBy("user_id").applyInPandas(lambda key, pdf: next(walk(key, iter([pdf]))), T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())]))
+    return walked(events.select("id", "user_id", "ts"), "user_id", "ts", "id", "allowed", T.BooleanType(), step)
 
 
 def limit_rate_stream(events: DataFrame, most: int, seconds: int) -> DataFrame:
@@ -68,7 +67,12 @@ def limit_rate_stream(events: DataFrame, most: int, seconds: int) -> DataFrame:
 
 
 def ema(df: DataFrame, by: str, value: str, order: list[str], alpha: float = 0.1) -> DataFrame:
-    """(by, ema): the exponential mean of each group's values in order, begun by the first."""
-    g = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("xs"))
-    fold = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.col("xs")[0][value], lambda s, x: s * (1 - alpha) + x[value] * alpha)
-    return g.select(by, fold.alias("ema"))
+    """(by, ema): the exponential mean of each group's values in order, begun by the first; null values are left out.
+
+    The r-th value from the end weighs alpha * (1-alpha)^(r-1), and the first of n takes the remaining (1-alpha)^n, so
+    a group is a sorted sum and never an array.
+    """
+    last = F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
+    x = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("x_"), last.alias("r_"))
+    total = F.sum(F.col("x_") * alpha * F.pow(F.lit(1 - alpha), F.col("r_") - 1))
+    return x.groupBy(by).agg((total + F.max_by("x_", "r_") * F.pow(F.lit(1 - alpha), F.max("r_"))).alias("ema"))
