@@ -106,14 +106,15 @@ def noisy_or_fit(doc: np.ndarray, sent: np.ndarray, feat: np.ndarray, value: np.
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """A model of labels (doc_id, toxic), from documents (doc_id, text) outside the held-out fold.
 
-    Labels of null id or value are ignored; of several for one id the highest counts. Without labels, or with one value
+    Labels of null id or value are ignored; of several for one id the highest counts, and of
+    several texts for one id the last in code point order, so that the sample keeps its bound. Without labels, or with one value
     only, the model has no features and scores every text by its number of sentences with a small bias.
     """
     spark = prepare(documents.sparkSession)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic")).where(~held_out())
     chosen = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = durable(texts.join(F.broadcast(chosen), "doc_id"))  # MOST_LABELLED rows at most
+    sample = durable(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))  # MOST_LABELLED rows at most
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())

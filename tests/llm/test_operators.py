@@ -153,6 +153,15 @@ def test_toxicity_finds_sentences(spark):
     assert toxicity.reject(d, labels).columns == d.columns
 
 
+def test_toxicity_sample_is_bounded_by_ids(spark):
+    """Repeated ids stand once in the sample, under one text, in whatever order the rows come."""
+    rows = [(i, f"calm words number {i} here.") for i in range(1, 60)] + [(i, f"a vile slur {i}. calm words.") for i in range(60, 90)]
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(1, 90)], "doc_id long, toxic int")
+    more = rows + [(60, "a")] * 300
+    plain, again, back = (toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, more, more[::-1]))
+    assert plain.weights == again.weights == back.weights and plain.bias == again.bias == back.bias and plain.weights
+
+
 def test_toxicity_without_labels(odd, spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(odd, empty).where("predicted = 1").count() == 0
