@@ -140,27 +140,34 @@ class Field:
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = weights or {}
 
-    def lattice(self, text: str, low: int, high: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
-        """Token places of text[low:high], and per token the segments (end, kind, features) that begin with it."""
-        places = [(low + m.start(), low + m.end()) for m in _TOKEN.finditer(text[low:high])]
+    def places(self, text: str, low: int, high: int) -> list[tuple[int, int]]:
+        """Places of the tokens of text[low:high]."""
+        return [(low + m.start(), low + m.end()) for m in _TOKEN.finditer(text[low:high])]
+
+    def segments(self, text: str, places: list[tuple[int, int]]) -> Iterator[list[tuple[int, str, list[str]]]]:
+        """Token by token the segments (end, kind, features) that begin with it, made as they are read: a long window
+        holds those of one token at a time."""
         tokens = [text[a:b] for a, b in places]
-        arcs = []
         for i, t in enumerate(tokens):
             here = [(i + 1, "", [f"out:{_shape(t)}"])]
             for end in _candidates(tokens, i):
                 a, b = places[i][0], places[end - 1][1]
                 here += [(end, k, segment_features(k, text[a:b], text[max(0, a - 12) : a], text[b : b + 12])) for k in KINDS]
-            arcs.append(here)
-        return places, arcs
+            yield here
+
+    def lattice(self, text: str, low: int, high: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
+        """Token places of text[low:high], and all segments, for windows that are learned from."""
+        places = self.places(text, low, high)
+        return places, list(self.segments(text, places))
 
     def _score(self, names: list[str]) -> float:
         return sum(self.weights.get(n, 0.0) for n in names)
 
     def best(self, text: str, low: int, high: int) -> list[tuple[str, int, int]]:
         """Entities of the best segmentation of a window."""
-        places, arcs = self.lattice(text, low, high)
+        places = self.places(text, low, high)
         best: list[tuple[float, int, str]] = [(0.0, -1, "")] + [(-math.inf, -1, "")] * len(places)
-        for i, here in enumerate(arcs):
+        for i, here in enumerate(self.segments(text, places)):
             for end, kind, names in here:
                 s = best[i][0] + self._score(names)
                 if s > best[end][0]:
