@@ -35,6 +35,8 @@ POPULATION = 4
 SLACK = CAPACITY // 256
 #: Rounds in which badly filled bins of different blocks meet.
 MEETINGS = 2
+#: Tasks of an epoch at most; beyond, a task evolves several islands one after the other.
+MOST_TASKS = 100_000
 
 
 class _Room:
@@ -179,7 +181,7 @@ def _round(items: DataFrame, blocks: int, capacity: int, seed: int, given: bool)
         return run
 
     for epoch in range(EPOCHS):
-        spread = state.repartition(max(1, min(2000, blocks * ISLANDS)), "block", "island")
+        spread = state.repartition(max(1, min(MOST_TASKS, blocks * ISLANDS)), "block", "island")
         done = durable(spread.select("block", "sizes", "elites", "island").mapInPandas(emit(epoch), "block int, sizes array<int>, island int, best array<int>, score double"))
         guest = done.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("best").alias("guest"))
         state = done.join(guest, ["block", "island"]).select("block", "sizes", "island", F.array("best", "guest").alias("elites"))
