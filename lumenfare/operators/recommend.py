@@ -82,13 +82,23 @@ def transitions(df: DataFrame, user: str, order: list, item: str) -> DataFrame:
     return df.withColumn("target", nxt).where("target is not null").groupBy(F.col(item).alias("source"), "target").agg(F.count("*").alias("n"))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, query: DataFrame, k: int, most_broadcast: int = 20_000, vector_blocks: int = 64) -> DataFrame:
     """(query_id, vec_id, score) of the k most similar vectors of each query by cosine.
 
-    The query side is a stated, bounded set, broadcast; every partition keeps its own k best before the shuffle.
+    The queries are a stated set. Up to most_broadcast of them are broadcast; more are dealt into blocks of about that
+    many, and every block meets every one of vector_blocks parts of the vectors by an ordinary join, so that a task
+    holds one part of each. Every task keeps its own k best before the last shuffle.
     """
     q = query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    v, blocks = vectors.select("vec_id", "embedding"), -(-q.count() // most_broadcast)
+    if blocks <= 1:
+        pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    else:
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("v_block", each(vector_blocks))
+        v = v.withColumn("v_block", F.pmod(F.xxhash64("vec_id"), F.lit(vector_blocks)).cast("int")).withColumn("q_block", each(blocks))
+        pairs = v.join(q, ["q_block", "v_block"]).where("vec_id <> query_id")
+    s = pairs.select("query_id", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return top(s, "score", k, "vec_id", ["query_id"])
 
 
