@@ -32,6 +32,7 @@ STEPS = 300
 THRESHOLD = 0.3
 REMEMBERED = 1 << 19
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
+_MARKS = str.maketrans(".!?", "   ")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿"
 
 
@@ -49,6 +50,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
+def words(text: str) -> set[str]:
+    """Distinct lower-case words of all sentences: sentence marks part words as white space does."""
+    return set(text.translate(_MARKS).lower().split())
+
+
 class Model:
     """Weights by feature, the sentences' bias, and what is known of words."""
 
@@ -66,8 +72,8 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
         """(document's score, places of sentences with a score of THRESHOLD or more). An empty text has no sentence: 0."""
-        known, words = self.known, set(text.lower().split())
-        hot = {w for w in words if known.get(w, 1.0) and self._weight(w)}
+        known = self.known
+        hot = {w for w in words(text) if known.get(w, 1.0) and self._weight(w)}
         spans = sentences(text)
         if not hot:
             return float(-np.expm1(len(spans) * -np.log1p(np.exp(self.bias)))), []
@@ -120,7 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for pdf in frames:
             for text, y in zip(pdf.text, pdf.toxic):
-                seen[int(y > 0)].update({f for w in set(text.lower().split()) for f in word_features(w)})
+                seen[int(y > 0)].update({f for w in words(text) for f in word_features(w)})
         for y, c in enumerate(seen):
             yield pd.DataFrame({"f": list(c.keys()), "y": y, "n": list(c.values())}, columns=["f", "y", "n"]).astype({"f": "int64", "y": "int32", "n": "int64"})
 

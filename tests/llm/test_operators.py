@@ -162,6 +162,21 @@ def test_toxicity_sample_is_bounded_by_ids(spark):
     assert plain.weights == again.weights == back.weights and plain.bias == again.bias == back.bias and plain.weights
 
 
+def test_toxicity_of_words_at_sentence_marks(spark):
+    """A word counts alike before a mark, joined to the next word by one, and in the middle of a sentence."""
+    bad = ["You zorgling fool.", "You are a zorgling.", "Such a zorgling! Go home.", "Is it a zorgling?", "A zorgling.you see.", "Go home.zorgling"]
+    d = spark.createDataFrame([(i, f"plain words number {i} stand here. {bad[i % 6] if i >= 60 else 'More of them.'} Calm ones follow.") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "doc_id long, toxic int")
+    m = toxicity.fit(d, labels)
+    for s in bad:
+        total, found = m.score(s)
+        assert total >= toxicity.THRESHOLD and any("zorgling" in s[a:b] for a, b in found)
+    assert m.score("Calm words. More of them follow!") == (m.score("Calm words. x!")[0], [])
+    # a word that only ever stands behind a mark without a space is learned too
+    d = spark.createDataFrame([(i, f"plain words{i}.{'vargling' if i >= 60 else 'calm'} here") for i in range(120)], "doc_id long, text string")
+    assert toxicity.fit(d, labels).score("vargling here")[0] >= toxicity.THRESHOLD
+
+
 def test_toxicity_without_labels(odd, spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(odd, empty).where("predicted = 1").count() == 0
