@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenfare.functions import text as X
 from lumenfare.operators import recommend as R
-from lumenfare.plans.query import query
+from lumenfare.plans.query import ORACLE, query
 from lumenfare.sources import listings as L
 from lumenfare.sources.tables import catalog, read, sql, venues
 
@@ -112,3 +112,29 @@ def tfidf_vectors(spark, d):
     docs = read(spark, d, "documents").where("lang = 'en' and n_chars < 1500")
     terms = docs.select(F.col("doc_id").alias("id"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3).alias("terms"))
     return R.tf_idf(terms).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9_ \\t\\n]','','g'),'[ \\t\\n]+',' ','g')) AS title_key FROM documents")
+def title_norm_all(spark, d):
+    """title_norm of every document, of whatever language."""
+    return read(spark, d, "documents").select("doc_id", X.title_key(F.col("text")).alias("title_key"))
+
+
+@query("SELECT doc_id, substring(regexp_replace(trim(string_split_regex(text,'[.!?]')[1]),'^[^A-Za-z0-9_]+',''),1,100) AS title FROM documents")
+def first_sentence_all(spark, d):
+    """first_sentence of every document, of whatever language."""
+    return read(spark, d, "documents").select("doc_id", X.first_sentence(F.col("text")).alias("title"))
+
+
+@query(_topic_sql().replace(" WHERE lang='en'", ""))
+def topic_rules_all(spark, d):
+    """topic_rules of every document, of whatever language."""
+    topic, conf = X.classify(F.col("text"), TOPICS, NEGATIVES)
+    return read(spark, d, "documents").select("doc_id", topic.alias("topic"), conf.alias("confidence"))
+
+
+@query(ORACLE["tfidf_vectors"].replace(" WHERE lang='en' AND n_chars<1500", ""))
+def tfidf_vectors_all(spark, d):
+    """tfidf_vectors of every document, of whatever language and length; document frequencies are of all of them."""
+    terms = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3).alias("terms"))
+    return R.tf_idf(terms).withColumn("weight", F.round("weight", 6))
