@@ -110,3 +110,19 @@ def tf_idf(docs: DataFrame, least_df: int = 2, most_share: float = 0.95) -> Data
     idf = df.join(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * most_share)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     return w.select("id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).alias("weight"))
+
+
+def unseen_topk(model, seen: DataFrame, k: int) -> DataFrame:
+    """(user_id, event_id, score, rank) of the k best unseen items of every user of seen (user_id, event_id) by a fitted model.
+
+    A user's k + n best items hold the k best unseen ones, n being the number of items seen. Users are asked for in
+    classes by the binary digits of n, each with its largest n, so that candidates are fewer than k a user and two for
+    each row of seen.
+    """
+    size = seen.groupBy("user_id").agg(F.length(F.bin(F.count_distinct("event_id"))).alias("digits"))
+    found = None
+    for n in sorted(r.digits for r in size.select("digits").distinct().collect()):
+        r = model.recommendForUserSubset(size.where(F.col("digits") == n).select("user_id"), min(k + 2**n - 1, 2**31 - 1))
+        found = r if found is None else found.unionByName(r)
+    r = found.select("user_id", F.explode("recommendations").alias("r")).select("user_id", "r.event_id", F.col("r.rating").cast("double").alias("score"))
+    return top(r.join(seen.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti"), "score", k, "event_id", ["user_id"])

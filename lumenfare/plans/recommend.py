@@ -165,5 +165,4 @@ def als_topk(spark, d):
 
     i = interactions(spark, d).groupBy(F.col("user_id").cast("int").alias("user_id"), F.col("event_id").cast("int").alias("event_id")).agg(F.sum(R.weight(F.col("kind"), F.col("rating"))).alias("w")).where("w > 0")
     model = ALS(rank=16, maxIter=5, implicitPrefs=True, userCol="user_id", itemCol="event_id", ratingCol="w", seed=3).fit(i)
-    r = model.recommendForAllUsers(60).select("user_id", F.explode("recommendations").alias("r")).select("user_id", "r.event_id", F.col("r.rating").cast("double").alias("score"))
-    return R.top(r.join(i, ["user_id", "event_id"], "left_anti"), "score", 5, "event_id", ["user_id"])
+    return R.unseen_topk(model, i, 5)
