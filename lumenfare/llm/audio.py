@@ -2,8 +2,9 @@
 
 A recording (WAV bytes, 16-bit mono) becomes frames of energy by pitch class. A summed-area table over (frame, class)
 gives each of 16 rectangle filters its two sums in eight reads; the log ratio, quantised to two bits in Gray code,
-makes one 32-bit integer per place. Recordings with equal fingerprints are one class. Queries meet all classes on equal
-integers; the offset histogram of a pair names the alignment, and the share of differing bits along it the distance.
+makes one 32-bit integer per place. Recordings with equal fingerprints are one class. Queries meet all classes at every
+offset: the share of differing bits along an offset is the distance, and the offset histogram of equal integers chooses
+among offsets within its bound. Blocks of queries and parts of the classes meet by join, so that a task holds one of each.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ RATE, FRAME, HOP = 4000, 1024, 256
 #: Frames that a filter sees; integers are one frame apart.
 DEPTH = 16
 LEVELS = (-0.25, 0.0, 0.25)
-#: Equal integers at one offset that make a candidate, and the share of differing bits that a match has at most.
+#: Equal integers at one offset that a match of less than LEAST_COVER of the shorter recording has at least, and the
+#: share of differing bits that every match has at most.
 LEAST_HITS, MOST_ERROR = 4, 0.25
+LEAST_COVER = 0.75
+#: Integers, about, of a block of queries, of a part of the classes, and of the recordings that are compared at once.
+BLOCK, PART, BATCH = 1 << 18, 1 << 16, 1 << 16
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -139,33 +144,91 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("vec_id", "media").mapInPandas(emit, "vec_id long, ints array<int>")
 
 
+def best_offsets(a: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number, offset, hits, error in ten-thousandths) for those of the others that align with a at some offset."""
+    return next(_aligned([a], others))
+
+
+def _aligned(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """best_offsets of each query; every offset of every other is compared."""
+    size = np.array([len(b) for b in others])
+    n, k = int(size.max()), len(others)
+    stack, inside = np.zeros((n, k), np.uint32), None
+    for c, b in enumerate(others):
+        stack[: len(b), c] = b
+    if size.min() < n:
+        inside = (np.arange(n)[:, None] < size).astype(np.uint8)
+    for a in queries:
+        m = len(a)
+        offset = np.arange(1 - m, n)
+        overlap = np.minimum(m, size - offset[:, None]) - np.maximum(0, -offset)[:, None]
+        kind = np.uint16 if min(m, n) < 2048 else np.uint32
+        wrong = np.zeros((m + n - 1, k), kind)
+        for i in range(m):
+            bits = np.bitwise_count(stack ^ a[i])
+            wrong[m - 1 - i : m - 1 - i + n] += bits if inside is None else bits * inside
+        covers = overlap >= LEAST_COVER * np.minimum(m, size)
+        allowed = (covers | (overlap >= LEAST_HITS)) & (wrong <= (MOST_ERROR + 5e-5) * 32 * overlap)
+        which = np.flatnonzero(allowed.any(0))
+        allowed, covers, part, within = allowed[:, which], covers[:, which], stack[:, which], None if inside is None else inside[:, which]
+        hits = np.zeros((m + n - 1, len(which)), np.int32)
+        for i in range(m):
+            same = part == a[i]
+            hits[m - 1 - i : m - 1 - i + n] += same if within is None else same & (within > 0)
+        hits[~(allowed & (covers | (hits >= LEAST_HITS)))] = -1
+        keep = hits.max(0, initial=-1) >= 0
+        which, hits = which[keep], hits[:, keep]
+        error = np.where(hits == hits.max(0, initial=-1), wrong[:, which] / (32.0 * np.maximum(overlap[:, which], 1)), np.inf)
+        at, here = error.argmin(0), np.arange(len(which))
+        yield which, offset[at], hits[at, here], np.floor(error[at, here] * 1e4 + 0.5).astype(np.int32)
+
+
+def _meet(key: tuple, queries: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+    """One row for each query of a block with the classes of a part that align with it."""
+    out = {int(q): [] for q in queries.class_id}
+    asked = [np.asarray(x, np.int32).view(np.uint32) for x in queries.ints]
+    ints = [np.asarray(x, np.int32).view(np.uint32) for x in classes.ints]
+    ids, order, longest = classes.class_id.to_numpy(), np.argsort([len(x) for x in ints], kind="stable"), max(map(len, asked), default=0)
+    first = 0
+    while first < len(order):
+        last = first + 1  # as many recordings of like length as a batch holds, one at least
+        while last < len(order) and (last + 1 - first) * (longest + len(ints[order[last]])) <= 2 * BATCH:
+            last += 1
+        batch = order[first:last]
+        for q, (which, offset, hits, error) in zip(out, _aligned(asked, [ints[k] for k in batch])):
+            r = ids[batch[which]]
+            out[q].append(np.array([r, offset, hits, error])[:, r != q])
+        first = last
+    rows = [(q, *np.concatenate(x, axis=1)) for q, x in out.items() if x]
+    return pd.DataFrame([r for r in rows if len(r[1])], columns=["q", "r", "offset", "hits", "error"])
+
+
 def align(recordings: DataFrame, every: int = 50) -> DataFrame:
     """(vec_id, class_id, n_ints, matches) for every recording (vec_id, media).
 
     class_id: the smallest vec_id of the same fingerprint. matches: for queries, which are the rows whose id `every`
     divides, `class:offset:hits:error` of each other class that aligns, by class, comma-joined; null for other rows.
     offset: frames by which the class lags; hits: equal integers at it; error: share of differing bits to 4 places over
-    the overlap. Classes align when the best offset (most hits, then the smallest) has LEAST_HITS and at most MOST_ERROR.
+    the overlap. Classes align when some offset has at most MOST_ERROR and either LEAST_HITS or an overlap of LEAST_COVER
+    of the shorter one; of such offsets the one of most hits is given, then of least error, then the smallest. All
+    offsets of all classes are compared, so no such pair is missed, at a cost of queries times classes.
     Only classes move in the search, so copies are never paired. Rows of null id have no class and no matches; media
     without samples are one class that aligns with none; repeated rows keep a row each.
     """
     rows = durable(fingerprints(recordings).withColumn("sum", F.xxhash64("ints")))
     classes = durable(rows.where("vec_id is not null").groupBy("sum").agg(F.min("vec_id").alias("class_id"), F.first("ints").alias("ints"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asked")))
-    places = classes.select("class_id", "asked", F.posexplode("ints").alias("pos", "v"))
-    q = places.where("asked = 1").select(F.col("class_id").alias("q"), F.col("pos").alias("qp"), "v")
-    r = places.select(F.col("class_id").alias("r"), F.col("pos").alias("rp"), "v")
-    hits = q.join(r, "v").where("q <> r").groupBy("q", "r", (F.col("rp") - F.col("qp")).alias("offset")).agg(F.count("*").alias("hits")).where(F.col("hits") >= LEAST_HITS)
-    best = hits.groupBy("q", "r").agg(F.max(F.struct("hits", (-F.col("offset")).alias("o"))).alias("m")).select("q", "r", "m.hits", (-F.col("m.o")).alias("offset"))
-    ints = classes.select("class_id", "ints")
-    pair = best.join(ints.select(F.col("class_id").alias("q"), F.col("ints").alias("a")), "q").join(ints.select(F.col("class_id").alias("r"), F.col("ints").alias("b")), "r")
-    n = F.least(F.size("a") + F.least("offset", F.lit(0)), F.size("b") - F.greatest("offset", F.lit(0)))
-    n = F.least(n, F.size("a"), F.size("b"))
-    x = F.slice("a", 1 + F.greatest(-F.col("offset"), F.lit(0)), n)
-    y = F.slice("b", 1 + F.greatest(F.col("offset"), F.lit(0)), n)
-    wrong = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    pair = pair.withColumn("error", F.round(wrong / (32.0 * n), 4)).where(F.col("error") <= MOST_ERROR)
-    said = F.concat_ws(":", "r", "offset", "hits", "error")
-    found = pair.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", said.alias("s")))), lambda p: p["s"]), ",").alias("matches"))
+    whole = classes.where(F.size("ints") > 0)
+    total = whole.agg(F.sum(F.size("ints").cast("long")).alias("all"), F.sum(F.when(F.col("asked") == 1, F.size("ints").cast("long"))).alias("asked")).first()
+    blocks, parts = 1 + (total["asked"] or 0) // BLOCK, 1 + (total["all"] or 0) // PART
+    dealt = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = max(1, min(blocks * parts, 4096))
+    q = whole.where("asked = 1").select("class_id", "ints", dealt(blocks).alias("block"), each(parts).alias("part")).repartition(tasks, "block", "part")
+    r = whole.select("class_id", "ints", dealt(parts).alias("part"), each(blocks).alias("block")).repartition(tasks, "block", "part")
+    met = q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInPandas(_meet, "q long, r array<long>, offset array<int>, hits array<int>, error array<int>")
+    pairs = F.flatten(F.collect_list(F.arrays_zip("r", "offset", "hits", "error")))
+    said = lambda p: F.concat_ws(":", p["r"], p["offset"], p["hits"], p["error"] / 10000.0)
+    found = met.groupBy("q").agg(F.array_join(F.transform(F.array_sort(pairs), said), ",").alias("matches"))
     named = classes.join(found.withColumnRenamed("q", "class_id"), "class_id", "left").select("sum", "class_id", "matches")
     asked = F.col("vec_id") % every == 0
     return rows.join(named, "sum", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("class_id")).alias("class_id"), F.size("ints").cast("long").alias("n_ints"), F.when(asked, F.coalesce("matches", F.lit(""))).alias("matches"))

@@ -329,6 +329,37 @@ def test_audio_alignment(spark):
     assert got[60].n_ints == 0 and got[60].class_id == got[61].class_id == 60 and got[None].class_id is None
 
 
+def plain_alignment(a, b):
+    """offset:hits:error of two fingerprints by brute force over all offsets, or None."""
+    best = None
+    for offset in range(1 - len(a), len(b)):
+        x, y = a[max(0, -offset) :], b[max(0, offset) :]
+        n = min(len(x), len(y))
+        hits, error = int((x[:n] == y[:n]).sum()), sum(bin(int(u) ^ int(v)).count("1") for u, v in zip(x[:n], y[:n])) / (32 * n)
+        if int(error * 1e4 + 0.5) / 1e4 <= 0.25 and (hits >= 4 or 4 * n >= 3 * min(len(a), len(b))):
+            best = min(best or (-hits, error, offset), (-hits, error, offset))
+    return best and f"{best[2]}:{-best[0]}:{int(best[1] * 1e4 + 0.5) / 1e4}"
+
+
+def test_audio_alignment_equals_brute_force(spark, monkeypatch):
+    """Noise spread over the bits, other lengths, one or two integers, and repeated notes: all offsets of all pairs count."""
+    rng = np.random.default_rng(7)
+    noisy = lambda x, k: x ^ np.array([sum(1 << int(i) for i in rng.choice(32, k, False)) for _ in x], np.uint32)
+    base = rng.integers(0, 1 << 32, 40, np.uint64).astype(np.uint32)
+    tune = np.tile(rng.integers(0, 1 << 32, 4, np.uint64).astype(np.uint32), 6)
+    given = {0: base, 1: noisy(base, 7), 2: noisy(base[25:], 5), 3: base[10:12], 50: noisy(base[10:11], 3), 51: tune, 100: np.concatenate([tune[:8], noisy(base, 12)]), 52: np.concatenate([noisy(tune[:13], 20), tune[1:7]]), 53: np.empty(0, np.uint32), 54: base}
+    monkeypatch.setattr(audio, "fingerprints", lambda recordings: recordings)
+    for block, part, batch in ((1 << 18, 1 << 16, 1 << 16), (30, 50, 100)):
+        for name, value in (("BLOCK", block), ("PART", part), ("BATCH", batch)):
+            monkeypatch.setattr(audio, name, value)
+        rows = spark.createDataFrame([(i, [int(x) for x in v.view(np.int32)]) for i, v in given.items()], "vec_id long, ints array<int>")
+        got = {r.vec_id: r.matches for r in audio.align(rows).collect()}
+        for q in (0, 50, 100):
+            pairs = {r: plain_alignment(given[q], b) for r, b in given.items() if r not in (q, 53, 54)}
+            assert got[q] == ",".join(f"{r}:{p}" for r, p in sorted(pairs.items()) if p)
+        assert "1:0:0:0.2188" in got[0] and ",50:-10:0:" in got[0] and got[50].startswith("0:10:0:")
+
+
 def test_empty_tables(spark, none):
     assert jaccard_join.similar_documents(none).count() == 0
     assert packing.pack_documents(none, tokenizer("byte_bpe_50k.json")).count() == 0
