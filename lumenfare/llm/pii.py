@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -257,34 +258,55 @@ def trained(seed: int = 5) -> Field:
     return field
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Places around triggers, joined where they touch, cut at word ends."""
-    low = high = -1
+def _reach(text: str, at: int, back: bool, last: int = 0) -> int:
+    """Where the longest segment with a trigger that begins or ends at a place may end, AROUND characters off at
+    least, and not within a word; within a word that reaches over `last` it stops there."""
+    far = LONGEST * 64
+    part = text[max(0, at - far) : at][::-1] if back else text[at : at + far]
+    n = AROUND
+    for m in itertools.islice(_TOKEN.finditer(part), LONGEST):
+        n = max(n, m.end())
+    if back:
+        at = max(0, at - n)
+        while at > last and text[at - 1].isalnum() and text[at].isalnum():
+            at -= 1
+    else:
+        at = min(len(text), at + n)
+        while at > last and at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
+            at += 1
+    return at
+
+
+def windows(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, start of the first trigger, end of the last) of places around triggers that hold the longest
+    segments with them, joined where they touch, cut at word ends."""
+    low = high = first = end = -1
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if m[0][0] not in "@[( " and sum(c.isdigit() for c in m[0]) < 8 and m[0].count(".") < 3:
             continue
+        b = _reach(text, m.end(), False, high)
         if m[0][0] == " " and not re.search(r"\bdot\b|\.[a-z]{2}", text[m.end() : b], re.I):
             continue
+        a = _reach(text, m.start(), True, max(0, high))
         if a <= high:
-            high = b
+            high, end = max(high, b), m.end()
             continue
         if high > 0:
-            yield low, high
-        low, high = a, b
+            yield low, high, first, end
+        low, high, first, end = a, b, m.start(), m.end()
     if high > 0:
-        yield low, high
+        yield low, high, first, end
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans by kind as listed, then start)."""
     base = base_spans(text)
     added = []
-    if _DIGITS.search(text) or " at " in text or "at]" in text or "at)" in text or "@" in text:
+    if _DIGITS.search(text) or any(x in text for x in (" at ", "at]", "at)", " AT ", "AT]", "AT)", "@")):
         taken = sorted((a, b) for _, a, b in base)
-        for low, high in windows(text):
-            if any(a <= low + AROUND and high - AROUND <= b for a, b in taken):
-                continue  # the trigger is a base span
+        for low, high, first, end in windows(text):
+            if any(a <= first and end <= b for a, b in taken):
+                continue  # one base span holds the triggers
             for kind, a, b in field.best(text, low, high):
                 if not any(x < b and a < y for x, y in taken):
                     added.append((kind, a, b))

@@ -207,6 +207,23 @@ def test_pii_field_adds_and_leaves_alone(odd):
     assert pii.redact(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("text, want", [
+    ("alice.smith@example.org or bob [at] x [dot] org", ["alice.smith@example.org", "bob [at] x [dot] org"]),
+    ("bob [at] x [dot] org or alice.smith@example.org", ["bob [at] x [dot] org", "alice.smith@example.org"]),
+    ("write to averylongfirstnameindeed_averylonglastname [at] example [dot] org today", ["averylongfirstnameindeed_averylonglastname [at] example [dot] org"]),
+    ("write to bob [at] averyveryveryverylongdomainnameindeed [dot] org today", ["bob [at] averyveryveryverylongdomainnameindeed [dot] org"]),
+    ("averylongfirstnameindeed_averylong at example dot org", ["averylongfirstnameindeed_averylong at example dot org"]),
+])
+def test_pii_windows_hold_whole_segments(text, want):
+    field = pii.trained()
+    assert sorted(text[a:b] for _, a, b in pii.all_spans(text, field)[1]) == sorted(want)
+    for low, high, first, end in pii.windows(text):
+        assert 0 <= low <= first < end <= high <= len(text)
+        assert not text[max(0, low - 1) : low + 1].isalnum() or low == 0
+        assert high == len(text) or not text[high - 1 : high + 1].isalnum()
+    assert not any(x in pii.hidden(text, field) for x in ("bob", "alice", "averylong", "averyvery"))
+
+
 def test_field_reads_the_best_segmentation():
     """Dynamic programming against all segmentations of a small window."""
     field, text = pii.trained(), "to +1 (555) 123-4567 8"
