@@ -209,6 +209,12 @@ def items_not_seen(spark, d):
     return catalog(spark, d).where("event_id < 200").select("event_id").subtract(interactions(spark, d).where("user_id = 8").select("event_id"))
 
 
+@query(sql("SELECT event_id FROM catalog EXCEPT SELECT event_id FROM interactions WHERE user_id=8", "catalog", "interactions"))
+def items_not_seen_all(spark, d):
+    """items_not_seen over the whole catalogue."""
+    return catalog(spark, d).select("event_id").subtract(interactions(spark, d).where("user_id = 8").select("event_id"))
+
+
 @query("SELECT source, lang, count(*) AS n FROM (SELECT source, lang FROM documents UNION ALL SELECT 'chat' AS source, role AS lang FROM conversations) GROUP BY ALL")
 def union_sources(spark, d):
     a, b = read(spark, d, "documents").select("source", "lang"), read(spark, d, "conversations").select(F.lit("chat").alias("source"), F.col("role").alias("lang"))

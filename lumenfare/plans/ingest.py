@@ -66,3 +66,16 @@ def next_ids(spark, d):
     top = interactions(spark, d).agg(F.max("id").alias("top"))
     new = catalog(spark, d).where("event_id < 25").select("event_id", F.row_number().over(W.orderBy("event_id")).alias("n"))
     return new.join(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "event_id")
+
+
+@query(sql("SELECT (SELECT max(id) FROM interactions) + row_number() OVER (ORDER BY event_id) AS id, event_id FROM catalog", "interactions", "catalog"))
+def next_ids_all(spark, d):
+    """Ids that follow the largest one, for the whole catalogue: rows are numbered within ranges of 4,096 event ids, after
+    the rows of the ranges before."""
+    from pyspark.sql import Window as W
+
+    top = interactions(spark, d).agg(F.max("id").alias("top"))
+    new = catalog(spark, d).select("event_id", F.floor(F.col("event_id") / 4096).alias("range"))
+    before = new.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    n = F.row_number().over(W.partitionBy("range").orderBy("event_id"))
+    return new.withColumn("n", n).join(before, "range").join(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("n")).alias("id"), "event_id")

@@ -6,7 +6,8 @@ from lumenfare.functions import dates, geo
 from lumenfare.functions import scores as S
 from lumenfare.operators import catalog as C
 from lumenfare.operators import recommend as R
-from lumenfare.plans.query import query
+from lumenfare.plans.catalog import candidate_pool
+from lumenfare.plans.query import ORACLE, query
 from lumenfare.sources.tables import as_of, catalog, interactions, read, sql, venues
 
 NOW = "timestamp '2024-01-15 00:00:00'"
@@ -75,6 +76,13 @@ def diversity_penalty(spark, d):
     return R.diversity_penalty(c, 0.05).select("event_id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLE["diversity_penalty"].replace("FROM catalog WHERE event_id<100)", f"FROM catalog WHERE event_id IN (SELECT event_id FROM ({ORACLE['candidate_pool']})))"))
+def diversity_penalty_pool(spark, d):
+    """diversity_penalty of the candidates of one request, as candidate_pool gives them."""
+    c = catalog(spark, d).join(candidate_pool(spark, d).select("event_id"), "event_id", "left_semi").select("event_id", "genres", F.col("popularity").alias("score"))
+    return R.diversity_penalty(c, 0.05).select("event_id", F.round("score", 6).alias("score"))
+
+
 @query(sql(f"SELECT event_id, round(s,6) AS score, row_number() OVER (ORDER BY round(s,6) DESC, event_id) AS rank FROM (SELECT event_id, 0.7::double*({_CONTENT})+0.3::double*popularity AS s FROM catalog) QUALIFY rank<=50", "catalog"))
 def hybrid_rerank(spark, d):
     e = catalog(spark, d)

@@ -41,3 +41,26 @@ def test_tf_idf_of_every_document(spark, folder):
         want |= {(i, t): round(x / size, 6) for t, x in w.items()}
     assert {(r["id"], r["term"]): r["weight"] for r in got(spark, d, "tfidf_vectors_all")} == pytest.approx(want, abs=2e-6)
     assert {i for i, _ in want} == {1, 2, 3, 4, 5}
+
+
+def test_catalogue_queries_read_the_whole_catalogue(spark):
+    d = "/root/testdata/sf0.01"  # 2,000 catalogue events
+    from lumenfare.sources.tables import catalog, interactions
+
+    events = {r.event_id: r for r in catalog(spark, d).collect()}
+    i = interactions(spark, d)
+    seen = {r.event_id for r in i.where("user_id = 8").select("event_id").collect()}
+    assert {r["event_id"] for r in got(spark, d, "items_not_seen_all")} == set(events) - seen
+    top = i.agg({"id": "max"}).first()[0]
+    assert sorted((r["id"], r["event_id"]) for r in got(spark, d, "next_ids_all")) == [(top + k, e) for k, e in enumerate(sorted(events), 1)]
+    pool = [events[r["event_id"]] for r in got(spark, d, "candidate_pool")]
+    assert max(e.event_id for e in pool) >= 100
+    want = {}
+    for b in pool:
+        lost = 0.0
+        for a in pool:
+            if (a.popularity, -a.event_id) > (b.popularity, -b.event_id):
+                x, y = set(a.genres), set(b.genres)
+                lost += len(x & y) / len(x | y)
+        want[b.event_id] = round(min(1, max(0, b.popularity - 0.05 * lost)), 6)
+    assert {r["event_id"]: r["score"] for r in got(spark, d, "diversity_penalty_pool")} == pytest.approx(want, abs=2e-6)
