@@ -248,6 +248,19 @@ def test_html(spark):
     assert got == [(1, "first page of text & more"), (2, "second one\ntail"), (3, ""), (4, ""), (5, "T\nx y"), (5, "kept")]
 
 
+def test_html_keeps_unique_tokens_of_blocks(spark):
+    """A block loses the runs that another page of the host has and nothing else, whatever their share of it."""
+    quote = " ".join(f"q{i}" for i in range(20))
+    own = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    page = lambda i, *blocks: (i, "http://h.example/1", "".join(f"<div>{b}</div>" for b in blocks))
+    p = [page(1, f"{own('a', 10)} {quote} {own('b', 10)}", own("c", 5)), page(2, f"{own('d', 90)} {quote}", own("e", 3)), page(3, own("f", 4), quote)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(p, "page_id long, url string, html string")).collect()}
+    assert got[1].text == f"{own('a', 10)} {own('b', 10)}\n{own('c', 5)}"
+    assert got[2].text == f"{own('d', 90)}\n{own('e', 3)}"
+    assert got[3].text == own("f", 4)
+    assert all(r.boilerplate_tokens == 20 and r.n_chars == len(r.text) for r in got.values())
+
+
 def test_quality_counts(docs, odd):
     for df in (docs, odd):
         for r in quality_rules.measure(df).join(df.dropDuplicates(["doc_id"]).select("doc_id", F.col("text").alias("t")), "doc_id").collect():
