@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 import numpy as np
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once; bounds the worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes handed to a Python worker at once, whichever is reached first; a longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets the Arrow batch size and, where the cluster names none, a checkpoint folder (tests, local runs)."""
+    """Sets the Arrow batch size and, where a local run names none, a checkpoint folder; a cluster has to name one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 
 
@@ -30,8 +38,6 @@ def durable(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, for tables that are written and read back."""
-    import uuid
-
     prepare(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
@@ -43,6 +49,37 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, *arrays: np.ndarray) -> Broadcast:
+    """The arrays as a broadcast of compressed bytes: bitmaps that are mostly zeros travel small."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return spark.sparkContext.broadcast([(a.dtype.str, pack(a.tobytes())) for a in arrays])
+
+
+def shared(arrays: Broadcast) -> list[np.ndarray]:
+    """What share() was given, unpacked once for a task."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(unpack(b), dtype) for dtype, b in arrays.value]
+
+
+def bitmap_of(rows: DataFrame, number: Column, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits, with the bit of each row's number (a long) modulo 2**bits set; made by grouped
+    aggregation, so what comes to the driver has that size whatever the rows."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    at = rows.select((F.pmod(number, F.lit(1 << bits)) + 1).alias("x"))  # these functions count from 1
+    pieces = at.groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+    for k, piece in pieces.collect():
+        low = (k - 1) * 4096
+        part = np.frombuffer(piece, np.uint8)[: len(out) - low]
+        out[low : low + len(part)] |= part
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bit of each number (int64) is set."""
+    at = numbers & np.int64((1 << bits) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,15 +109,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _MULT)
+#: Bytes of text that are hashed at once, about, and powers that are kept for that; longer texts make their own.
+_PIECE = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power_table(base: np.uint64, n: int, key: str) -> np.ndarray:
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+    found = _powers.get(key)
+    if found is None or len(found) < n:
+        steps = np.full(max(n, 2 * _PIECE), base, np.uint64)
         steps[0] = 1
-        _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[key][:n]
+        found = np.cumprod(steps, dtype=np.uint64)
+        if n <= 2 * _PIECE:
+            _powers[key] = found
+    return found[:n]
+
+
+#: What operators keep between a worker's tasks. A worker serves operators in turn, so each empties the others' first.
+kept: list[dict] = []
+
+
+def forget(mine: dict | None = None) -> None:
+    """Empties what other operators than the one that keeps `mine` have kept in this worker process."""
+    for other in kept:
+        if other is not mine:
+            other.clear()
 
 
 class Words:
@@ -104,7 +157,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
 
-def batches(texts: list[str | None], most: int = 1 << 20, lower: bool = False):
+def batches(texts: list[str | None], most: int = _PIECE, lower: bool = False):
     """(number of the first text, Words) for runs of texts of about `most` bytes; null is empty; lower: A-Z only."""
     run, size, begin = [], 0, 0
     for i, t in enumerate(texts):
@@ -147,6 +200,23 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- connected components
 
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, component): the root that each node of `parents` (node, parent < node, one row a node) reaches.
+
+    Every round replaces a parent by its parent, so there are as many rounds as the depth has binary digits; a round is
+    one join. Roots themselves are added at the end.
+    """
+    p = stored(parents.select("node", "parent"))
+    while True:
+        up = p.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        next_ = stored(p.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
+        if not next_.where("moved").take(1):
+            break
+        p = next_.select("node", "parent")
+    out = p.select("node", F.col("parent").alias("component"))
+    return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of `edges` reaches, itself included.
 
