@@ -7,12 +7,13 @@ two such characters in a row, one at an end, or a special token's string goes to
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 
-#: Words remembered by one Python worker; past that it forgets all and begins anew.
-REMEMBERED = 1 << 20
+from lumenfare.llm.common import forget, kept
+
+#: Words remembered by one Python worker, and letters of such a word. Half of them are older: past the other half, the
+#: older ones are forgotten that were not asked for again.
+REMEMBERED, SHORT = 1 << 20, 64
 _ODD = ["\t", "\x00", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "  ", "\n\n", " \n", "\n ", "<|"]
 _ODD_WIDE = ["\x85", "\xa0", " ", "᠎", *map(chr, range(0x2000, 0x2010)), " ", " ", " ", " ", "　", "﻿"]
 
@@ -32,26 +33,38 @@ class _Words(dict):
 
     def __init__(self, tokenizer, prefix: str, lower: bool):
         self.tokenizer, self.prefix, self.lower = tokenizer, prefix, lower
+        self.older: dict[str, bytes] = {}
         self.marks = {m: self._any(m) for m in (".", ",")}
 
     def _core(self, word: str) -> bytes:
-        """A word of Latin letters is one pre-token, so the tokenizer's model takes it directly."""
-        if self.lower:
-            word = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-        letters = (self.prefix + word).encode().decode("latin-1").translate(_LETTERS)
+        """A word of Latin letters is one pre-token, so the tokenizer's model takes it directly, if the tokenizer's own
+        normaliser leaves nothing but letters of it."""
+        low = word.lower() if self.lower and word.isascii() else self.tokenizer.normalizer.normalize_str(word) if self.lower else word
+        if not low.isalpha():
+            return self._any(self.prefix + word)
+        letters = (self.prefix + low).encode().decode("latin-1").translate(_LETTERS)
         return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
 
     def _any(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def age(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+
     def __missing__(self, word: str) -> bytes:
+        if word in self.older:
+            ids = self[word] = self.older.pop(word)
+            return ids
         mark = self.marks.get(word[-1:])
         core = word if mark is None else word[:-1]
         if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
             ids = self._core(core) if mark is None else self[core] + mark
         else:
             ids = self._any(self.prefix + word)
-        self[word] = ids
+        if len(word) <= SHORT:
+            self[word] = ids
         return ids
 
 
@@ -82,17 +95,18 @@ class Encoder:
                 out.append(self.line.join(lines))
             else:
                 out.append(b"".join(map(self.first.__getitem__, t.split())))
-        for known in (self.first, self.later):
-            if len(known) > REMEMBERED:
-                known.clear()
+        self.first.age()
+        self.later.age()
         return out
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+kept.append(_encoders)
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One Encoder per worker process and file."""
+    """One Encoder per worker process and file, until another operator's task comes to the process."""
+    forget(_encoders)
     if (path, spaced) not in _encoders:
         _encoders[path, spaced] = Encoder(path, spaced)
     return _encoders[path, spaced]

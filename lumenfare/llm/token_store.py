@@ -1,8 +1,9 @@
 """Token ids on disk: fixed-width bit packing in blocks, read back by vectorised unpacking or by random access.
 
 A store is a folder of Parquet files. Each row is a block: whole documents in rising order of id, until `BLOCK_IDS` ids
-are reached, as the columns part, block, first (ids of the part before it), width (bits an id), doc_ids, offsets (where
-each document begins in the block, and the end) and payload (ids packed little-endian, least bit first). A block is
+are reached, as the columns part, block, first (ids of the part before it), width (bits an id), low and high (the block's
+smallest and largest doc_id, by which Parquet leaves out blocks unread), doc_ids, offsets (where each document begins in
+the block, and the end) and payload (ids packed little-endian, least bit first). A block is
 readable on its own: id k is the bits k * width to (k + 1) * width. Parts follow one another in rising doc_id order.
 """
 
@@ -26,7 +27,7 @@ BLOCK_IDS = 1 << 16
 PART_CHARS = 1 << 24
 #: Places of so many parts are broadcast, a few MB; of more, joined by shuffle.
 BROADCAST_PARTS = 200_000
-_BLOCKS = "part int, block int, first long, width int, doc_ids array<bigint>, offsets array<bigint>, payload binary"
+_BLOCKS = "part int, block int, first long, width int, low bigint, high bigint, doc_ids array<bigint>, offsets array<bigint>, payload binary"
 
 
 def width_of(vocabulary: int) -> int:
@@ -70,7 +71,9 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1
         def row() -> pd.DataFrame:
             offsets = np.cumsum([0] + [len(x) // 4 for x in ids])
             payload = pack_bits(np.frombuffer(b"".join(ids), "<u4"), width)
-            return pd.DataFrame({"part": [part], "block": [block], "first": [first], "width": [width], "doc_ids": [held], "offsets": [offsets], "payload": [payload]})
+            known = [x for x in held if x is not None]
+            ends = pd.array([min(known, default=None), max(known, default=None)], "Int64")
+            return pd.DataFrame({"part": [part], "block": [block], "first": [first], "width": [width], "low": ends[:1], "high": ends[1:], "doc_ids": [held], "offsets": [offsets], "payload": [payload]})
 
         for pdf in frames:
             for doc_id, x in zip(pdf.doc_id.astype("Int64").tolist(), enc.encode(pdf.text.tolist())):
@@ -109,10 +112,27 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInPandas(emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: Spans of ids that one read asks Parquet for; the gaps between more than so many ids are closed, the widest last.
+MOST_SPANS = 64
+
+
+def _spans(ids: list[int]) -> list[tuple[int, int]]:
+    """At most MOST_SPANS ranges that hold the ids, parted at the widest gaps."""
+    gaps = sorted(range(1, len(ids)), key=lambda k: ids[k - 1] - ids[k])[: MOST_SPANS - 1]
+    edge = [0, *sorted(gaps), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(edge, edge[1:])] if ids else []
+
+
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the documents asked for, unpacked from their blocks alone; ids not in the store are left out."""
+    """(doc_id, ids) of the documents asked for, unpacked from their blocks alone; ids not in the store are left out.
+
+    Blocks whose bounds hold none of the ids are left out by the scan itself.
+    """
     want = set(doc_ids)
-    blocks = spark.read.schema(_BLOCKS).parquet(path).where(F.arrays_overlap("doc_ids", F.lit(sorted(want)).cast("array<bigint>")))
+    holds = F.lit(False)
+    for low, high in _spans(sorted(want)):
+        holds = holds | ((F.col("low") <= high) & (F.col("high") >= low))
+    blocks = spark.read.schema(_BLOCKS).parquet(path).where(holds)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
