@@ -1,6 +1,6 @@
 """Chroma audio fingerprints of media columns, and the alignment of recordings by them.
 
-A recording (WAV bytes, 16-bit mono) becomes frames of energy by pitch class. A summed-area table over (frame, class)
+A recording (WAV bytes of any rate) becomes frames of energy by pitch class. A summed-area table over (frame, class)
 gives each of 16 rectangle filters its two sums in eight reads; the log ratio, quantised to two bits in Gray code,
 makes one 32-bit integer per place. Recordings with equal fingerprints are one class. Queries meet all classes at every
 offset: the share of differing bits along an offset is the distance, and the offset histogram of equal integers chooses
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenfare.llm.common import durable, prepare
+from lumenfare.llm.common import durable, forget, prepare
 
 RATE, FRAME, HOP = 4000, 1024, 256
 #: Frames that a filter sees; integers are one frame apart.
@@ -96,13 +96,35 @@ def to_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def from_wav(media: bytes | None) -> tuple[np.ndarray, int]:
-    """(samples, rate); null, broken or empty media has no samples. Of several channels the first counts."""
+    """(samples on the 16-bit scale, rate); null, broken or empty media has no samples.
+
+    Samples have 8, 16, 24 or 32 bits; of several channels the first counts, and of media cut short the whole frames.
+    """
     try:
         with wave.open(io.BytesIO(media or b"")) as w:
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2")[:: w.getnchannels()] if w.getsampwidth() == 2 else np.empty(0, np.int16)
-            return x, w.getframerate()
+            width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
     except (wave.Error, EOFError):
-        return np.empty(0, np.int16), RATE
+        return np.empty(0, np.float64), RATE
+    if width not in (1, 2, 3, 4) or rate <= 0:
+        return np.empty(0, np.float64), RATE
+    frames = np.frombuffer(raw, np.uint8)[: len(raw) // (width * channels) * width * channels].reshape(-1, channels, width)[:, 0]
+    if width == 1:
+        return (frames[:, 0].astype(np.float64) - 128) * 256, rate
+    wide = np.zeros((len(frames), 4), np.uint8)
+    wide[:, 4 - width :] = frames  # the sample's bytes are the upper ones of 32 bits
+    return wide.view("<i4")[:, 0] / 65536.0, rate
+
+
+def at_rate(samples: np.ndarray, rate: int, wanted: int = RATE) -> np.ndarray:
+    """Samples of one rate at another: means over the new steps where it is lower, linear between where it is higher."""
+    if rate == wanted or not len(samples):
+        return samples
+    n = max(1, len(samples) * wanted // rate)
+    edge = np.arange(n + 1) * (rate / wanted)
+    if rate < wanted:
+        return np.interp(edge[:-1], np.arange(len(samples)), samples)
+    total = np.concatenate([[0.0], np.cumsum(samples, dtype=np.float64)])
+    return np.diff(np.interp(edge, np.arange(len(total)), total)) * (wanted / rate)
 
 
 def render(vector, step: int = FRAME // 4) -> bytes:
@@ -123,6 +145,7 @@ def media_of(embeddings: DataFrame) -> DataFrame:
     """(vec_id, media) rendered from embeddings (vec_id, embedding); the bytes are made where they are read."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in frames:
             yield pd.DataFrame({"vec_id": pdf.vec_id.astype("Int64"), "media": [render(v) for v in pdf.embedding]})
 
@@ -130,15 +153,17 @@ def media_of(embeddings: DataFrame) -> DataFrame:
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """(vec_id, ints) of recordings (vec_id, media); integers as signed 32-bit, none for media without samples."""
+    """(vec_id, ints) of recordings (vec_id, media); integers as signed 32-bit, none for media without samples. All rates
+    are brought to RATE first, so that frames last equally long."""
     prepare(recordings.sparkSession)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in frames:
             ints = []
             for m in pdf.media:
-                x, rate = from_wav(m)
-                ints.append(fingerprint(x, rate).view(np.int32) if len(x) else np.empty(0, np.int32))
+                x = at_rate(*from_wav(m))
+                ints.append(fingerprint(x).view(np.int32) if len(x) else np.empty(0, np.int32))
             yield pd.DataFrame({"vec_id": pdf.vec_id.astype("Int64"), "ints": ints})
 
     return recordings.select("vec_id", "media").mapInPandas(emit, "vec_id long, ints array<int>")
