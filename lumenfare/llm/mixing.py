@@ -87,17 +87,20 @@ def _rounded(items: DataFrame, most_docs: int, seed: int) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) for every row of documents (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies, source) for every row of documents (doc_id, text, source).
 
     size: words `[^\\x20\\x09-\\x0D]+` of the whole text, null: 0. taken = copies * size; copies is the floor or the
     ceiling of target / source_size, so at most `most`. A row without words, or of a source without words, is taken 0
-    times (copies 0). A null source is a source, the last; a null doc_id is an id. Repeated rows are rows of their own
-    and interchangeable. The draw depends on ids, sizes and seed, not on how rows lie in files; an empty table gives an
+    times (copies 0). A null source is a source, the last; a null doc_id is an id. Rows that repeat a source, doc_id and
+    size are rows of their own and interchangeable: they are counted first and drawn under numbers, so that no group of
+    repeats comes together. The draw depends on ids, sizes and seed, not on how rows lie in files; an empty table gives an
     empty result. Other columns are ignored.
     """
     prepare(documents.sparkSession)
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    rows = durable(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")))
+    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+    rows = given.groupBy("source", "doc_id", "size").agg(F.count("*").alias("times"))
+    rows = durable(rows.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times"))
     sources = durable(target_words(rows, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumn("base", F.floor(rate + NEAR).cast("int")).withColumn("f", F.greatest(F.lit(0.0), rate - F.col("base")))
@@ -107,7 +110,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     s = side(sources.withColumnRenamed("source", "source_"))
     rows = rows.join(s, F.col("source").eqNullSafe(F.col("source_")))
     open_ = (F.col("f") > NEAR) & (F.col("size") > 0)
-    items = rows.where(open_).select("number", "docs", F.abs(F.xxhash64("doc_id", "size", F.lit(seed))).alias("k"), "doc_id", "size", "f", (F.col("size") * F.col("docs") > F.col("source_size")).alias("large"))
+    items = rows.where(open_).select("number", "docs", F.abs(F.xxhash64("doc_id", "size", "again", F.lit(seed))).alias("k"), "doc_id", "size", "f", (F.col("size") * F.col("docs") > F.col("source_size")).alias("large"))
     large = durable(_rounded(items.where("large").drop("large"), most_docs, seed))
     small = items.where("not large").drop("large")
     spread = sources.select("number").join(large.groupBy("number").agg(F.sum("off").alias("off")), "number", "left").join(small.groupBy("number").agg(F.sum("size").alias("words")), "number", "left")
@@ -116,15 +119,23 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     out = large.unionByName(_rounded(shifted, most_docs, seed + 100)).select("number", "doc_id", "size", "up")
     out = out.unionByName(rows.where(~open_).select("number", "doc_id", "size", F.lit(0).alias("up")))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("up")).otherwise(0)
-    return out.join(side(sources), "number").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return out.join(side(sources), "number").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source")
 
 
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """documents with each row as many times as the mix takes it, with its columns; rows without words go.
 
-    Rows that repeat a doc_id and a size share the larger number of copies that the mix gave one of them.
+    The copies of a source differ by one at most, so of rows that repeat a source, doc_id and size the first ones, by a
+    hash of the text, get the larger number as often as the mix gave it: each source's words are those of the mix.
     """
-    taken = mix(documents, weights, most, seed).where("copies > 0").groupBy(F.col("doc_id").alias("doc_id_"), F.col("size").alias("size_")).agg(F.max("copies").alias("copies_"))
+    taken = mix(documents, weights, most, seed).groupBy(F.col("source").alias("source_"), F.col("doc_id").alias("doc_id_"), F.col("size").alias("size_")).agg(F.count("*").alias("times_"), F.min("copies").alias("low_"), F.max("copies").alias("high_"), F.sum("copies").alias("sum_"))
+    taken = durable(taken.where("high_ > 0").withColumn("up_", F.col("sum_") - F.col("low_") * F.col("times_")))
     size = F.regexp_count(F.coalesce(documents["text"].cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    joined = documents.join(taken, documents["doc_id"].cast("long").eqNullSafe(F.col("doc_id_")) & (size == F.col("size_")))
-    return joined.withColumn("again_", F.explode(F.array_repeat(F.lit(1), F.col("copies_").cast("int")))).select(*[documents[c] for c in documents.columns])
+    same = lambda t: documents.join(t, documents["source"].eqNullSafe(F.col("source_")) & documents["doc_id"].cast("long").eqNullSafe(F.col("doc_id_")) & (size == F.col("size_")))
+    uneven = (F.col("times_") > 1) & (F.col("up_") > 0)
+    again = lambda df: df.withColumn("again_", F.explode(F.array_repeat(F.lit(1), F.col("copies_").cast("int")))).select(*[documents[c] for c in documents.columns])
+    out = again(same(taken.where(~uneven)).withColumn("copies_", F.col("sum_") / F.col("times_")))
+    if not taken.where(uneven).take(1):
+        return out
+    place = F.row_number().over(W.partitionBy("source_", "doc_id_", "size_").orderBy(F.xxhash64(documents["text"].cast("string"))))
+    return out.unionAll(again(same(taken.where(uneven)).withColumn("copies_", F.col("low_") + F.when(place <= F.col("up_"), 1).otherwise(0))))
