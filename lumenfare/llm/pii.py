@@ -20,18 +20,19 @@ import random
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfare.llm.common import prepare
+from lumenfare.llm.common import forget, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens that a segment has at most.
-LONGEST = 16
-EXAMPLES, EPOCHS = 500, 3
-#: Characters on either side of a trigger that a window takes in.
+#: Tokens that a segment has at most, and one without `@` or `at`.
+LONGEST, LONGEST_NUMBER = 32, 16
+EXAMPLES, EPOCHS = 700, 6
+#: Characters on either side of a trigger that a window takes in at least.
 AROUND = 24
 
 # The base patterns. A match of IP can't begin within digits, which a look-behind says outright.
@@ -111,28 +112,28 @@ def segment_features(kind: str, seg: str, before: str, after: str) -> list[str]:
         out.append(f"card:more={bool(re.search(r'[0-9A-Za-z]$', before))}|{bool(re.match(r'[0-9A-Za-z]', after))}")
     else:
         out.append(f"phone:digits={min(n, 16) if n < 8 or n > 13 else 'fit'}|{seps <= set(' ().-+/')}|{any(c.isalpha() for c in seg)}")
-        out.append(f"phone:sign={'plus' if seg[0] == '+' else 'area' if re.match(r'[(][0-9]{3}[)] ?[0-9]{3}[-. ][0-9]{4}$', seg) else 'groups' if re.fullmatch(r'[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}', seg) else 'zeros' if re.fullmatch(r'00[0-9]{2}[ ()0-9-]+', seg) else 'none'}")
+        out.append(f"phone:sign={'plus' if seg[0] == '+' else 'area' if re.match(r'[(][0-9]{3}[)] ?[0-9]{3}[-. ][0-9]{4}$', seg) else 'groups' if re.fullmatch(r'[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}', seg) else 'zeros' if re.fullmatch(r'00[0-9]{2}[ ()0-9-]+', seg) else 'trunk' if re.fullmatch(r'0[0-9]{2,4} [0-9]{3,4} ?[0-9]{3,4}', seg) else 'none'}")
         out.append(f"phone:more={bool(re.search(r'[0-9A-Za-z+.]$', before))}|{bool(re.match(r'[0-9A-Za-z]|[.-][0-9]', after))}")
     return out
 
 
-def _candidates(tokens: list[str], i: int) -> list[int]:
-    """Ends (exclusive) of the segments that may be an entity from token i on, by bounded length and allowed tokens."""
-    first, ends = tokens[i], []
+def _candidates(tokens: list[str], i: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(end, exclusive; kinds) of the segments that may be an entity from token i on, by bounded length and allowed
+    tokens: with `@` or `at` an address, else one of the kinds of number."""
+    first = tokens[i]
     if not (first[0].isalnum() or first in "+("):
-        return ends
+        return
     digits = spelled = 0
     for j in range(i, min(len(tokens), i + LONGEST)):
         t = tokens[j]
         digits += len(t) if t[0].isdigit() else 0
         spelled |= t == "@" or t.lower() == "at"
         if t == "\n" or (t[0].isspace() and j + 1 < len(tokens) and tokens[j + 1][0].isspace()):
-            break
-        if t[0].isalnum() and j > i and (digits >= 4 or spelled and t.isalpha()):
-            ends.append(j + 1)
-        elif j == i and digits >= 16:
-            ends.append(j + 1)
-    return ends
+            return
+        if spelled and t.isalpha() and j > i:
+            yield j + 1, KINDS[:1]
+        elif not spelled and t[0].isalnum() and digits >= (4 if j > i else 16) and j < i + LONGEST_NUMBER:
+            yield j + 1, KINDS[1:]
 
 
 class Field:
@@ -151,9 +152,9 @@ class Field:
         tokens = [text[a:b] for a, b in places]
         for i, t in enumerate(tokens):
             here = [(i + 1, "", [f"out:{_shape(t)}"])]
-            for end in _candidates(tokens, i):
+            for end, kinds in _candidates(tokens, i):
                 a, b = places[i][0], places[end - 1][1]
-                here += [(end, k, segment_features(k, text[a:b], text[max(0, a - 12) : a], text[b : b + 12])) for k in KINDS]
+                here += [(end, k, segment_features(k, text[a:b], text[max(0, a - 12) : a], text[b : b + 12])) for k in kinds]
             yield here
 
     def lattice(self, text: str, low: int, high: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
@@ -181,31 +182,41 @@ class Field:
             i = j
         return out[::-1]
 
-    def learn(self, text: str, gold: set[tuple[str, int, int]], rate: float) -> None:
-        """One step up the log-likelihood of the gold segmentation of a whole text."""
-        places, arcs = self.lattice(text, 0, len(text))
-        n = len(places)
-        scores = [[self._score(names) for _, _, names in here] for here in arcs]
-        fore, back = [-math.inf] * n + [-math.inf], [-math.inf] * n + [0.0]
-        fore[0] = 0.0
-        add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
-        for i in range(n):
-            for (end, _, _), s in zip(arcs[i], scores[i]):
-                fore[end] = add(fore[end], fore[i] + s)
-        for i in range(n - 1, -1, -1):
-            for (end, _, _), s in zip(arcs[i], scores[i]):
-                back[i] = add(back[i], s + back[end])
-        inside = set()
-        for _, a, b in gold:
-            inside.update(range(a, b))
-        for i in range(n):
-            for (end, kind, names), s in zip(arcs[i], scores[i]):
+
+class _Lattice:
+    """A window's segments in numbers: places of beginnings and ends, features in a row, and which are in the gold."""
+
+    def __init__(self, field: Field, text: str, gold: set[tuple[str, int, int]], index: dict[str, int]):
+        places, arcs = field.lattice(text, 0, len(text))
+        inside = {i for _, a, b in gold for i in range(a, b)}
+        self.n, self.begin, self.end, self.true, features = len(places), [], [], [], []
+        for i, here in enumerate(arcs):
+            for end, kind, names in here:
                 a, b = places[i][0], places[end - 1][1]
-                true = (kind, a, b) in gold if kind else a not in inside
-                step = rate * (true - math.exp(min(0.0, fore[i] + s + back[end] - fore[n])))
-                if abs(step) > 1e-6:
-                    for name in names:
-                        self.weights[name] = self.weights.get(name, 0.0) + step
+                self.begin.append(i)
+                self.end.append(end)
+                self.true.append((kind, a, b) in gold if kind else a not in inside)
+                features.append([index.setdefault(x, len(index)) for x in names])
+        self.size = np.array([len(f) for f in features])
+        self.features = np.concatenate([np.array(f) for f in features])
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.gold = np.array(self.true, float)
+
+    def probabilities(self, weights: np.ndarray) -> np.ndarray:
+        """Of each segment to stand in a segmentation, by the forward and backward sums over all of them."""
+        s = np.add.reduceat(weights[self.features], self.first)
+        scores, n = s.tolist(), self.n
+        fore, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        fore[0] = back[n] = 0.0
+        for i, end, x in zip(self.begin, self.end, scores):
+            x += fore[i]
+            y = fore[end]
+            fore[end] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        for i, end, x in zip(reversed(self.begin), reversed(self.end), reversed(scores)):
+            x += back[end]
+            y = back[i]
+            back[i] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        return np.exp(np.minimum(0.0, np.array(fore)[self.begin] + s + np.array(back)[self.end] - fore[n]))
 
 
 def _example(rng: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
@@ -221,12 +232,13 @@ def _example(rng: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return rng.choice((f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0044 {a} {b} {c}"))
+        return rng.choice((f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0044 {a} {b} {c}", f"0{num(2)} {c} {num(4)}"))
 
     def email() -> str:
         at = rng.choice(("@", "@", "@", " [at] ", " (at) ", "[at]", " at "))
-        dot = rng.choice((" [dot] ", " (dot) ", " dot ")) if at != "@" else "."
-        return word() + rng.choice(("", "." + num(2), "_" + word())) + at + word() + dot + rng.choice(("com", "org", "example" + dot + "com"))
+        dot = {" [at] ": " [dot] ", " (at) ": " (dot) ", "[at]": "[dot]", " at ": " dot "}.get(at, ".")
+        local = word() + "".join(rng.choice("._-") + rng.choice((word(), num(2))) for _ in range(rng.choice((0, 0, 1, 1, 2, 3))))
+        return local + at + "".join(word() + dot for _ in range(rng.choice((1, 1, 2, 3)))) + rng.choice(("com", "org", "de"))
 
     def hexes() -> str:
         return rng.choice(('token = "{}"', "password={}")).format("".join(rng.choice("0123456789012345abcdef") for _ in range(rng.choice((18, 32, 40)))))
@@ -246,16 +258,25 @@ def _example(rng: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
     return text + word(), gold
 
 
+def examples(n: int, seed: int) -> list[tuple[str, set[tuple[str, int, int]]]]:
+    """n generated windows with their entities."""
+    rng = random.Random(seed)
+    return [_example(rng) for _ in range(n)]
+
+
 @functools.cache
 def trained(seed: int = 5) -> Field:
-    """The field after EPOCHS passes over EXAMPLES generated windows; the same at every call."""
-    rng, field = random.Random(seed), Field()
-    examples = [_example(rng) for _ in range(EXAMPLES)]
+    """The field after EPOCHS passes over EXAMPLES generated windows, by steps up the log-likelihood of their
+    segmentations; the same at every call."""
+    rng, index = random.Random(seed), {}
+    given = [_Lattice(Field(), text, gold, index) for text, gold in examples(EXAMPLES, seed)]
+    weights = np.zeros(len(index))
     for epoch in range(EPOCHS):
-        rng.shuffle(examples)
-        for text, gold in examples:
-            field.learn(text, gold, 0.5 / (1 + epoch))
-    return field
+        rng.shuffle(given)
+        for x in given:
+            step = 0.5 / (1 + epoch) * (x.gold - x.probabilities(weights))
+            np.add.at(weights, x.features, np.repeat(step, x.size))
+    return Field({name: float(weights[k]) for name, k in index.items()})
 
 
 def _reach(text: str, at: int, back: bool, last: int = 0) -> int:
@@ -318,7 +339,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of documents (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) for every row of documents (doc_id, text).
 
     The counts and the digest (of `kind:start:end` joined by commas; code points) are of base spans; spans lists base
     and added ones. A null or empty text has none: zero counts and the digest of "". Repeated rows and null ids keep
@@ -328,18 +349,19 @@ def find(documents: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(trained().weights)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         field = Field(shared.value)
         for pdf in frames:
             rows = []
             for t in pdf.text.tolist():
                 base, every = all_spans(t or "", field)
-                rows.append((*(sum(k == s[0] for s in base) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(set(base))))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                rows.append((*(sum(k == s[0] for s in base) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(set(base)), len(every)))
+            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
             out.insert(0, "doc_id", pdf.doc_id.astype("Int64").array)
             yield out
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(emit, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return texts.mapInPandas(emit, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(documents: DataFrame) -> DataFrame:
