@@ -29,8 +29,8 @@ BLOCK = 8192
 ISLANDS = 3
 #: Rounds of evolution with a migration of elites between them.
 EPOCHS = 2
-GENERATIONS = 12
-POPULATION = 4
+GENERATIONS = 80
+POPULATION = 5
 #: A bin with at most this much room is well filled.
 SLACK = CAPACITY // 256
 #: Rounds in which badly filled bins of different blocks meet.
@@ -85,6 +85,36 @@ def best_fit(sizes: np.ndarray, bins: np.ndarray, order: np.ndarray, capacity: i
     return np.unique(bins, return_inverse=True)[1].astype(np.int32)
 
 
+def filled(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """A packing bin by bin: the largest piece left, then again and again the one or two pieces that leave least room."""
+    order = np.argsort(sizes, kind="stable")
+    starts = np.searchsorted(sizes[order], np.arange(capacity + 2))
+    left, next_ = np.diff(starts), starts[:-1].copy()  # pieces of each size, and the place in order of the next of them
+    bins, used, todo, top = np.empty(len(sizes), np.int32), 0, len(sizes), capacity
+    while todo:
+        while not left[top]:
+            top -= 1
+        room, put = capacity, (top,)
+        while put:
+            for size in put:
+                bins[order[next_[size]]] = used
+                next_[size] += 1
+                left[size] -= 1
+                room -= size
+                todo -= 1
+            have = np.flatnonzero(left[: room + 1])
+            put = (int(have[-1]),) if len(have) else ()
+            if put and put[0] < room:
+                at = np.searchsorted(have, room - have, side="right") - 1
+                at = np.where((at >= 0) & (have[at] == have) & (left[have] < 2), at - 1, at)
+                total = np.where(at >= 0, have + have[at], 0)
+                if total.max() > put[0]:
+                    k = rng.choice(np.flatnonzero(total == total.max()))
+                    put = (int(have[k]), int(have[at[k]]))
+        used += 1
+    return bins
+
+
 def fitness(sizes: np.ndarray, bins: np.ndarray) -> float:
     """Fewer bins first, then uneven filling, which leaves room in one piece: higher is better."""
     fill = np.bincount(bins, sizes)
@@ -114,15 +144,19 @@ def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rn
 
 
 def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """The best packing after some generations from the elites and random best-fit starts."""
+    """The best packing after some generations from the elites, or else from best fit by falling size, from bins filled
+    one by one, and from random best-fit starts. It ends early at the bound that no packing is below."""
     empty = np.full(len(sizes), -1, np.int32)
     people = list(elites) or [best_fit(sizes, empty, np.argsort(-sizes, kind="stable"), capacity)]
+    bound = math.ceil(sizes.sum() / capacity)
+    if min(int(p.max()) + 1 for p in people) <= bound:
+        return max(people, key=lambda p: fitness(sizes, p))
+    people.append(filled(sizes, capacity, rng))
     while len(people) < POPULATION:
         people.append(best_fit(sizes, empty, np.argsort(-(sizes * rng.uniform(0.9, 1.1, len(sizes))), kind="stable"), capacity))
     scores = [fitness(sizes, p) for p in people]
-    bound = -math.ceil(sizes.sum() / capacity)
     for _ in range(GENERATIONS):
-        if max(scores) >= bound:
+        if min(int(p.max()) + 1 for p in people) <= bound:
             break
         i, j = rng.choice(len(people), 2, replace=False)
         if scores[j] > scores[i] and rng.random() < 0.7:
