@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfare.llm.common import prepare
+from lumenfare.llm.common import forget, prepare
 
 REMEMBERED = 1 << 19
 _MARK = "▁"
@@ -80,6 +80,7 @@ def count_tokens(documents: DataFrame, vocabulary: list[tuple[str, float]]) -> D
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         counter = Counter(shared.value)
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n_tokens": [counter.count(t or "") for t in pdf.text.tolist()]})

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfare.llm.common import durable, held_out, prepare
+from lumenfare.llm.common import durable, forget, held_out, prepare
 
 #: Labelled documents that the model is fitted on, at most.
 MOST_LABELLED = 24_000
@@ -30,7 +30,7 @@ FEATURES = 8_192
 LEAST_DOCS, LEAST_RATIO = 3, 10.0
 STEPS = 300
 THRESHOLD = 0.3
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
 _MARKS = str.maketrans(".!?", "   ")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿"
@@ -123,6 +123,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     sample = durable(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))  # MOST_LABELLED rows at most
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for pdf in frames:
             for text, y in zip(pdf.text, pdf.toxic):
@@ -141,6 +142,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     place = spark.sparkContext.broadcast({int(f): k for k, f in enumerate(features)})
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         at, known = place.value, {}
         for pdf in frames:
             out = []
@@ -150,6 +152,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
                     c: Counter = Counter()
                     for w in set(text[a:b].lower().split()):
                         if w not in known:
+                            if len(known) > REMEMBERED:
+                                known.clear()
                             known[w] = [at[f] for f in word_features(w) if f in at]
                         c.update(known[w])
                     if c:
@@ -159,6 +163,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             yield pd.DataFrame(out, columns=["y", "empty", "hits", "flat"])
 
     rows = sample.select("text", "toxic").mapInPandas(places, "y int, empty int, hits int, flat binary").toPandas().sort_values(["y", "empty", "hits", "flat"])
+    place.destroy()
     first = np.concatenate([[0], np.cumsum(rows.hits)])
     flat = [np.frombuffer(x, np.int32).reshape(-1, 3) + np.array([f, 0, 0], np.int64) for x, f in zip(rows.flat, first)]
     cells = np.concatenate(flat) if flat else np.empty((0, 3), int)
@@ -177,6 +182,7 @@ def score(documents: DataFrame, labels: DataFrame, keep_text: bool = False) -> D
     extra = [f for f in documents.schema.fields if keep_text and f.name not in ("held_out", "score", "predicted", "offending")]
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         m = model.value
         for pdf in frames:
             found = [m.score(t or "") for t in pdf.text.tolist()]
@@ -211,5 +217,7 @@ def _nullable(f, df: DataFrame):
 
 
 def reject(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that are not predicted toxic, with their columns."""
-    return score(documents, labels, keep_text=True).where("predicted = 0").select(*documents.columns)
+    """The rows of documents that are not predicted toxic, with their columns; those named like outputs keep their values."""
+    aside = {c: f"given_{c}_" for c in ("held_out", "score", "predicted", "offending") if c in documents.columns}
+    kept = score(documents.withColumnsRenamed(aside), labels, keep_text=True).where("predicted = 0")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in documents.columns])
