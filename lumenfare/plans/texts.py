@@ -68,10 +68,13 @@ def _topic_sql() -> str:
     return f"SELECT doc_id, CASE WHEN {best}=0 THEN 'music' {arms} END AS topic, CASE WHEN {best}=0 THEN 0.3 ELSE least({best}/10,1.0) END::double AS confidence FROM (SELECT doc_id, {', '.join(cols)} FROM documents WHERE lang='en')"
 
 
+def _topics(docs):
+    return docs.select("doc_id", X.classified(F.col("text"), TOPICS, NEGATIVES).alias("c")).select("doc_id", "c.topic", "c.confidence")
+
+
 @query(_topic_sql())
 def topic_rules(spark, d):
-    topic, conf = X.classify(F.col("text"), TOPICS, NEGATIVES)
-    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", topic.alias("topic"), conf.alias("confidence"))
+    return _topics(read(spark, d, "documents").where("lang = 'en'"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text),'free') OR contains(lower(text),'than') THEN 'free' END, CASE WHEN contains(lower(text),'ring') THEN 'outdoor' END, CASE WHEN contains(lower(text),'heit') OR contains(lower(text),'keit') THEN 'danish' END], lambda x: x IS NOT NULL),',') AS tags FROM documents")
@@ -129,8 +132,7 @@ def first_sentence_all(spark, d):
 @query(_topic_sql().replace(" WHERE lang='en'", ""))
 def topic_rules_all(spark, d):
     """topic_rules of every document, of whatever language."""
-    topic, conf = X.classify(F.col("text"), TOPICS, NEGATIVES)
-    return read(spark, d, "documents").select("doc_id", topic.alias("topic"), conf.alias("confidence"))
+    return _topics(read(spark, d, "documents"))
 
 
 @query(ORACLE["tfidf_vectors"].replace(" WHERE lang='en' AND n_chars<1500", ""))
