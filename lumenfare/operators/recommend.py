@@ -73,7 +73,8 @@ def cooccurrence(windowed: DataFrame, user: str) -> DataFrame:
     items = windowed.select(user, "win", F.col("event_id").alias("e")).distinct()
     a, b = items.alias("a"), items.alias("b")
     n = a.join(b, (F.col(f"a.{user}") == F.col(f"b.{user}")) & (F.col("a.win") == F.col("b.win")) & (F.col("a.e") < F.col("b.e"))).groupBy(F.col("a.e").alias("a"), F.col("b.e").alias("b")).agg(F.count("*").alias("n"))
-    return n.select("a", "b", "n", (F.col("n") / F.max("n").over(W.partitionBy())).alias("weight"))
+    most = n.agg(F.max("n").alias("most"))
+    return n.join(F.broadcast(most)).select("a", "b", "n", (F.col("n") / F.col("most")).alias("weight"))
 
 
 def transitions(df: DataFrame, user: str, order: list, item: str) -> DataFrame:
@@ -102,12 +103,17 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, most_broadcast: int =
     return top(s, "score", k, "vec_id", ["query_id"])
 
 
-def tf_idf(docs: DataFrame, least_df: int = 2, most_share: float = 0.95) -> DataFrame:
-    """(id, term, weight) of docs (id, terms): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1."""
+def tf_idf(docs: DataFrame, least_df: int = 2, most_share: float = 0.95, most_terms: int | None = None) -> DataFrame:
+    """(id, term, weight) of docs (id, terms): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1.
+
+    With most_terms only that many terms count, those that occur most often in all, ties in order of the alphabet.
+    """
     tf = docs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * most_share)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    kept = df.join(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("n") * most_share))
+    kept = kept if most_terms is None else kept.orderBy(F.desc("total"), "term").limit(most_terms)
+    idf = kept.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     return w.select("id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).alias("weight"))
 
