@@ -83,5 +83,36 @@ def looks_like_event(text: Column, event_words: list[str], place_words: list[str
     return (F.length(text) >= least) & has(event_words) & (has(place_words) | has(time_words))
 
 
+# Headings of a venue's page that are no titles.
+NO_TITLES = ["program", "kalender", "calendar", "events", "billetter", "tickets", "menu", "om os", "about", "kontakt", "contact", "nyhedsbrev", "newsletter"]
+
+
+def _by_class(block: Column, *names: str) -> Column:
+    """The text of a block's first element whose class holds one of the names."""
+    text = F.regexp_extract(block, rf"(?is)<[a-z0-9]+[^>]*class=\"[^\"]*\b(?:{'|'.join(names)})\b[^\"]*\"[^>]*>(.*?)</", 1)
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " ")), F.lit(""))
+
+
+def site_events(pages: DataFrame, now: Column, days: int, block_class: str = "event") -> DataFrame:
+    """(page_id, title, at, price, genre, url) of the blocks of venues' pages (page_id, html).
+
+    A block begins at an element whose class begins with block_class and ends where the next begins. Title, date, price
+    and genre are the first elements of their classes; the link is the first one to tickets, or else the first. Blocks
+    without a title or date, with a heading for a title, or outside the time from now to `days` later are left out; of
+    blocks of one page with one title and time the first counts.
+    """
+    from lumenfare.functions.dates import announced_date
+    from lumenfare.functions.extract import price_in_kroner
+
+    start = rf"(?i)<(?=[a-z0-9]+[^>]*class=\"{block_class}[-_ ][^\"]*(?:card|item|row|container|teaser|block)[^\"]*\")"
+    b = pages.select("page_id", F.posexplode(F.split("html", start)).alias("pos", "block")).where("pos > 0")
+    b = b.withColumn("block", F.concat(F.lit("<"), "block"))
+    link = F.coalesce(F.nullif(F.regexp_extract("block", r'(?is)<a[^>]*class="[^"]*(?:ticket|billet)[^"]*"[^>]*href="([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract("block", r'(?is)<a[^>]*href="([^"]*)"', 1), F.lit("")))
+    e = b.select("page_id", "pos", _by_class(F.col("block"), "title", "headline", "name").alias("title"), announced_date(_by_class(F.col("block"), "date", "dato"), now).alias("at"), price_in_kroner(_by_class(F.col("block"), "price", "pris")).alias("price"), _by_class(F.col("block"), "genre").alias("genre"), link.alias("url"))
+    e = e.where(F.col("title").isNotNull() & ~F.lower("title").isin(NO_TITLES) & (F.col("at") > now) & (F.col("at") < now + F.make_dt_interval(F.lit(days))))
+    first = e.groupBy("page_id", "title", "at").agg(F.min_by(F.struct("price", "genre", "url"), "pos").alias("r"))
+    return first.select("page_id", "title", "at", "r.*")
+
+
 def union_all(sources: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
