@@ -3,8 +3,7 @@
 Plan, in the order in which data move:
 
 1. Every document becomes its set of hashed shingles inside the scan. Counting the shingles takes one shuffle of
-   delta-coded 32-bit fingerprints, dealt by fingerprint range, of which each holds about `RANGE` shingles at any size
-   of the corpus. It returns two tables of fixed size: the `FREQUENT` most frequent fingerprints, which give the
+   delta-coded 32-bit fingerprints, dealt by fingerprint range and added up as they stream by. It returns two tables of fixed size: the `FREQUENT` most frequent fingerprints, which give the
    rare-first order (rarer ones stand in hash order; any fixed order gives the same links), and a bitmap of
    fingerprints that occur twice or more, without which a shingle has no partner. Where the bitmap saturates, more
    prefix rows move and the links stay the same.
@@ -24,43 +23,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenfare.llm.common import connected_components, durable, prepare, shingle_sets, stored
+from lumenfare.llm.common import bitmap_of, connected_components, durable, forest_roots, forget, prepare, share, shared, shingle_sets, stored
 
-#: Shingles that one counting group holds, about.
-RANGE = 1 << 20
+#: Shingles that one counting range holds, about, and log2 of the number of ranges at most: beyond, a range holds more
+#: rows, but no more different fingerprints than 2**32 / 2**MOST_RANGES.
+RANGE, MOST_RANGES = 1 << 19, 14
 #: Shingles that a task gathers before it hands them on.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Fingerprints in the rare-first order at most.
 FREQUENT = 1 << 17
 #: A fingerprint below this document frequency is not put in order by frequency.
 LEAST_DF = 8
-#: log2 of the bits in the bitmap of repeated fingerprints (32 MB).
-BITMAP = 28
+#: log2 of the bits in the bitmap of repeated fingerprints (32 MB), and the bits of a piece in which it comes together.
+BITMAP, PIECE = 28, 1 << 17
 #: log2 of the bits in the bitmap of classes that need verifying (1 MB).
 WANTED = 23
 
 
-def _count_fingerprints(ranges: int):
+def _counted(prints: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints in rising order, and the sums of their counts."""
+    every = np.concatenate(prints)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], np.add.reduceat(np.concatenate(times)[order], first)
+
+
+def _fingerprints(shift: int):
     """Tasks' sorted fingerprints, cut by range; differences in 16 bits, those that don't fit apart."""
-    edges = np.linspace(0, 1 << 32, ranges + 1).astype(np.int64)
 
     def rows(parts: list[np.ndarray]) -> pd.DataFrame:
-        seen, times = np.unique(np.concatenate(parts), return_counts=True)
-        seen, cut, out = seen.astype(np.int64), None, []
-        cut = np.searchsorted(seen, edges)
-        for r in range(ranges):
-            part, n = seen[cut[r] : cut[r + 1]], times[cut[r] : cut[r + 1]]
-            if len(part):
-                step = np.diff(part, prepend=edges[r])
-                wide, more = step >= 65535, np.flatnonzero(n > 1).astype(np.uint32)
-                out.append((r, np.where(wide, 65535, step).astype(np.uint16).tobytes(), step[wide].astype(np.uint32).tobytes(), more.tobytes(), n[more].astype(np.uint32).tobytes()))
+        every = np.concatenate(parts)
+        every.sort()
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        seen, times = every[first], np.diff(first, append=len(every)).astype(np.uint32)
+        cut = np.flatnonzero(np.concatenate([[True], seen[1:] >> shift != seen[:-1] >> shift, [True]]))
+        out = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            r = int(seen[a]) >> shift
+            step = np.diff(seen[a:b], prepend=np.uint32(r << shift))
+            wide, more = step >= 65535, np.flatnonzero(times[a:b] > 1).astype(np.uint32)
+            out.append((r, np.where(wide, 65535, step).astype(np.uint16).tobytes(), step[wide].tobytes(), more.tobytes(), times[a:b][more].tobytes()))
         return pd.DataFrame(out, columns=["r", "steps", "wide", "more", "times"])
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         held, size = [], 0
         for pdf in frames:
             for s in shingle_sets(pdf.text.tolist()):
@@ -72,36 +85,67 @@ def _count_fingerprints(ranges: int):
         if size:
             yield rows(held)
 
-    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        prints, counts = [], []
-        for steps, wide, more, times in zip(pdf.steps, pdf.wide, pdf["more"], pdf.times):
-            step = np.frombuffer(steps, np.uint16).astype(np.int64)
-            step[step == 65535] = np.frombuffer(wide, np.uint32)
-            n = np.ones(len(step), np.int64)
-            n[np.frombuffer(more, np.uint32)] = np.frombuffer(times, np.uint32)
-            prints.append(edges[key[0]] + np.cumsum(step))
-            counts.append(n)
-        seen, at = np.unique(np.concatenate(prints), return_inverse=True)
-        df = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-        bits = np.unique(seen[df > 1] >> (32 - BITMAP))
-        low = int(edges[key[0]] >> (32 - BITMAP)) // 8
-        high = int((edges[key[0] + 1] - 1) >> (32 - BITMAP)) // 8
-        map_ = np.zeros((high - low + 1) * 8, np.uint8)
-        map_[bits - low * 8] = 1
+    return emit
+
+
+def _frequencies(shift: int):
+    """Adds up the rows of each range, which come one after the other; what is held is summed as it doubles."""
+
+    def done(r: int, seen: np.ndarray, df: np.ndarray) -> tuple:
+        bits = np.unique(seen[df > 1] >> np.uint32(32 - BITMAP)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bits // PIECE, prepend=-1))
+        pieces = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bits)]):
+            map_ = np.zeros(PIECE, np.uint8)
+            map_[bits[a:b] % PIECE] = 1
+            pieces.append((int(bits[a]) // PIECE, zstandard.compress(np.packbits(map_, bitorder="little").tobytes(), 1)))
         often = df >= LEAST_DF
-        return pd.concat([pd.DataFrame({"fp": seen[often], "df": df[often], "bitmap": None}), pd.DataFrame({"fp": [low], "df": [-1], "bitmap": [np.packbits(map_, bitorder="little").tobytes()]})])
+        return seen[often], df[often], pieces
+
+    def table(found: list[tuple]) -> pd.DataFrame:
+        prints, df, pieces = zip(*found)
+        often = pd.DataFrame({"fp": np.concatenate(prints).astype(np.int64), "df": np.concatenate(df), "bitmap": None})
+        pieces = [x for p in pieces for x in p]
+        return pd.concat([often, pd.DataFrame({"fp": [k for k, _ in pieces], "df": -1, "bitmap": [b for _, b in pieces]}).astype({"fp": "int64", "df": "int64"})])
 
-    return emit, total
+    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
+        now, prints, counts, size, least, found = -1, [], [], 0, RANGE, []
+        for pdf in frames:
+            for r, steps, wide, more, times in zip(pdf.r, pdf.steps, pdf.wide, pdf["more"], pdf.times):
+                if r != now:
+                    if now >= 0:
+                        found.append(done(now, *_counted(prints, counts)))
+                    now, prints, counts, size, least = r, [], [], 0, RANGE
+                step = np.frombuffer(steps, np.uint16).astype(np.uint32)
+                step[step == 65535] = np.frombuffer(wide, np.uint32)
+                n = np.ones(len(step), np.int64)
+                n[np.frombuffer(more, np.uint32)] = np.frombuffer(times, np.uint32)
+                prints.append(np.cumsum(step, dtype=np.uint32) + np.uint32(r << shift))
+                counts.append(n)
+                size += len(n)
+                if size >= least:
+                    prints, counts = ([x] for x in _counted(prints, counts))
+                    size = len(prints[0])
+                    least = 2 * size + RANGE
+            if len(found) > 64:
+                yield table(found)
+                found = []
+        if now >= 0:
+            yield table([*found, done(now, *_counted(prints, counts))])
+
+    return total
 
 
 def _statistics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(frequent fingerprints in rising order, their document frequencies, bitmap of repeated ones)."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    emit, total = _count_fingerprints(max(1, math.ceil(chars / 6 / RANGE)))
-    counted = durable(texts.mapInPandas(emit, "r int, steps binary, wide binary, more binary, times binary").groupBy("r").applyInPandas(total, "fp long, df long, bitmap binary"))
+    bits = min(MOST_RANGES, max(1, math.ceil(math.log2(max(1, chars / 6 / RANGE)))))
+    rows = texts.mapInPandas(_fingerprints(32 - bits), "r int, steps binary, wide binary, more binary, times binary")
+    counted = durable(rows.repartition(max(1, (1 << bits) // 8), "r").sortWithinPartitions("r").mapInPandas(_frequencies(32 - bits), "fp long, df long, bitmap binary"))
     bitmap = np.zeros(1 << (BITMAP - 3), np.uint8)
-    for low, bits in counted.where("df = -1").select("fp", "bitmap").toLocalIterator():
-        bitmap[low : low + len(bits)] |= np.frombuffer(bits, np.uint8)
+    for k, bits in counted.where("df = -1").select("fp", "bitmap").toLocalIterator():
+        bitmap[k * PIECE // 8 : (k + 1) * PIECE // 8] |= np.frombuffer(zstandard.decompress(bits), np.uint8)
     level = F.floor(F.log2("df") * 4)
     above, least = 0, 1 << 62
     for at, n in sorted(counted.where("df > 0").groupBy(level.alias("at")).count().collect(), reverse=True):
@@ -112,9 +156,10 @@ def _statistics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return often.fp.to_numpy(np.uint32), often["df"].to_numpy(np.int64), bitmap
 
 
-def _signatures(shared, percent: int):
+def _signatures(arrays: Broadcast, percent: int):
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prints, often, bitmap = shared.value
+        forget()
+        prints, often, bitmap = shared(arrays)
         for pdf in frames:
             rows = []
             for doc_id, s in zip(pdf.doc_id.tolist(), shingle_sets(pdf.text.tolist())):
@@ -142,7 +187,8 @@ ITEM = 6
 
 def _sets(wanted):
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = wanted.value
+        forget()
+        (bits,) = shared(wanted)
         for pdf in frames:
             at = pdf.bucket.to_numpy(np.int64)
             pdf = pdf[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
@@ -187,8 +233,9 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     """
     spark = prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(_statistics(texts.select("text")))
-    marks = stored(texts.mapInPandas(_signatures(shared, percent), "doc_id long, n int, h1 long, h2 long, hist array<int>, ps array<long>, pp array<int>"))
+    arrays = share(spark, *_statistics(texts.select("text")))
+    marks = stored(texts.mapInPandas(_signatures(arrays, percent), "doc_id long, n int, h1 long, h2 long, hist array<int>, ps array<long>, pp array<int>"))
+    arrays.destroy()
     key = ["n", "h1", "h2"]
     classes = stored(marks.where("n > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("cls"), F.first("hist").alias("hist"), F.first("ps").alias("ps"), F.first("pp").alias("pp")))
     if not classes.take(1):
@@ -204,22 +251,22 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     linked = _overlap(percent)
     addressed = texts.where("doc_id is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED)))
 
-    def sets(ids: DataFrame) -> DataFrame:
+    def sets(ids: DataFrame) -> tuple[DataFrame, Broadcast]:
         """(cls, items) of the documents named in the one column of ids, and of a few others: a bitmap of the ids goes
         to the scan, so that texts never move."""
-        wanted = np.zeros(1 << (WANTED - 3), np.uint8)
-        at = ids.toDF("cls").select((F.pmod(F.xxhash64("cls"), F.lit(1 << WANTED)) + 1).alias("x"))  # these functions count from 1
-        for number, bits in at.groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect():
-            _place(wanted, number, bits)
-        return addressed.mapInPandas(_sets(spark.sparkContext.broadcast(wanted)), "cls long, items binary")
+        wanted = share(spark, bitmap_of(ids.toDF("cls"), F.xxhash64("cls"), WANTED))
+        return addressed.mapInPandas(_sets(wanted), "cls long, items binary"), wanted
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that pass the suffix filter and link; sets of b move twice, of a once."""
         x = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
         apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
         x = stored(x.where(apart <= F.col("na") + F.col("nb") - 2 * _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b"))
-        y = x.join(sets(x.select("b")).toDF("b", "ib"), "b").join(sets(x.select("a")).toDF("a", "ia"), "a")
-        return stored(y.where(linked("ia", "ib")).select("a", "b"))
+        (b, of_b), (a, of_a) = sets(x.select("b")), sets(x.select("a"))
+        out = stored(x.join(b.toDF("b", "ib"), "b").join(a.toDF("a", "ia"), "a").where(linked("ia", "ib")).select("a", "b"))
+        of_a.destroy()
+        of_b.destroy()
+        return out
 
     def possible(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
         """Length and positional filters at the first shingle that two sets have in common."""
@@ -228,31 +275,36 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     led = lists.where("cls <> lead").where(possible(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
     best = led.groupBy(F.col("cls").alias("b"), F.col("lead").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("m"))
     star = verified(best.select((-F.col("m.a")).alias("a"), "b"))
-    first = durable(connected_components(star))
+    first = stored(forest_roots(star.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
 
     comp = lists.select("shingle", "cls", "n", "pos").join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     open_ = stored(comp.withColumns({"low": F.min("comp").over(by), "high": F.max("comp").over(by)}).where("low < high").select("shingle", "cls", "n", "pos", "comp"))
     l, r = open_.alias("l"), open_.alias("r")
     pairs = l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.comp") < F.col("r.comp")) & possible(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
     rest = verified(pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct())
-    joined = durable(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
+    joined = first
+    if rest.take(1):  # the components that these links join, and what became of each
+        of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        links = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = stored(connected_components(links).withColumnRenamed("component", "into"))
+        known = first.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        joined = known.unionByName(merged.join(first.select("node"), "node", "left_anti").select("node", F.col("into").alias("component")))
 
     found = classes.select(*key, "cls").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select(*key, F.coalesce("component", "cls").alias("component"))
     return marks.select("doc_id", *key).join(found, key, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _place(bitmap: np.ndarray, number: int, bits: bytes) -> None:
-    """Puts what bitmap_construct_agg gave for bucket `number` (from 1, of 32768 bits) in its place."""
-    low = (number - 1) * 4096
-    piece = np.frombuffer(bits, np.uint8)
-    bitmap[low : low + len(piece)] |= piece
-
-
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """documents without the rows whose component has a smaller doc_id; rows of null id stay; columns as given.
+    """documents without the rows whose component has a smaller doc_id, with one row of each doc_id; columns as given.
 
-    Of rows that repeat a doc_id, all stay if that id is the smallest of its component: a repeated row is not told
-    from its twin by the id, and exact repeats are told apart by nothing.
+    An id is one document: its rows make one component, and of rows that repeat an id the one with the smallest hash of
+    its text stays. Rows of null id stay.
     """
     found = similar_documents(documents, percent).where("doc_id > component_id").select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(*documents.columns)
+    kept = documents.join(found, "doc_id", "left_anti").select(*documents.columns)
+    again = stored(documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_")).where("n_ > 1").select("doc_id"))
+    if not again.take(1):
+        return kept
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string"))))
+    first = kept.join(again, "doc_id", "left_semi").withColumn("place_", place).where("place_ = 1")
+    return kept.join(again, "doc_id", "left_anti").select(*documents.columns).unionAll(first.select(*documents.columns))
