@@ -132,3 +132,15 @@ def unseen_topk(model, seen: DataFrame, k: int) -> DataFrame:
         found = r if found is None else found.unionByName(r)
     r = found.select("user_id", F.explode("recommendations").alias("r")).select("user_id", "r.event_id", F.col("r.rating").cast("double").alias("score"))
     return top(r.join(seen.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti"), "score", k, "event_id", ["user_id"])
+
+
+def factors(model, kind: str, ids: DataFrame) -> DataFrame:
+    """(id, features) of the named users or items (id) of a fitted model; kind is user or item. Unknown ids are left out."""
+    return (model.userFactors if kind == "user" else model.itemFactors).join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def nearest_users(model, users: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, vec_id, score) of the k users whose factors are nearest those of the named users (id) by cosine."""
+    vectors = model.userFactors.select(F.col("id").alias("vec_id"), F.col("features").alias("embedding"))
+    asked = factors(model, "user", users).select(F.col("id").alias("vec_id"), F.col("features").alias("embedding"))
+    return nearest(vectors, asked, k)

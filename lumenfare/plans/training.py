@@ -57,3 +57,40 @@ def balanced_counts(spark, d):
     """How many positives of a user a balanced set of ten a user keeps."""
     p = interactions(spark, d).where("kind = 'like'").select("user_id", "event_id").distinct().groupBy("user_id").agg(F.count("*").alias("positives"))
     return p.withColumn("kept", F.least("positives", F.lit(10)))
+
+
+_EX = "ex AS (SELECT user_id, event_id, max(CASE WHEN kind IN ('like','going','went','save') THEN 1 ELSE 0 END) AS label FROM interactions GROUP BY ALL)"
+
+
+def _examples(spark, d):
+    return interactions(spark, d).groupBy("user_id", "event_id").agg(F.max(F.col("kind").isin("like", "going", "went", "save").cast("int")).alias("label"))
+
+
+@query(sql(f", {_EX}, t AS (SELECT greatest(10, floor(count(*)/(count(DISTINCT user_id)*2.0)))::int AS target FROM ex), x AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS own, sum(label) OVER (PARTITION BY user_id) AS pos, row_number() OVER (PARTITION BY user_id, label ORDER BY (user_id*7919+event_id*104729)%1000003, event_id) AS place FROM ex, t) SELECT user_id, event_id, label FROM x WHERE own<=target OR CASE WHEN label=1 THEN place<=least(pos,floor(target/2.0)) ELSE place<=target-least(pos,floor(target/2.0)) END", "interactions"))
+def balanced_set(spark, d):
+    """Positives and negatives of every user, cut to a target a user."""
+    return T.balanced(_examples(spark, d))
+
+
+@query("WITH s AS (SELECT quality AS label, (n_chars%1000)/1000.0::double AS score FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(CASE WHEN score>=0.5 AND label=1 THEN 1 END) AS tp, count(CASE WHEN score>=0.5 AND label=0 THEN 1 END) AS fp, count(CASE WHEN score<0.5 AND label=1 THEN 1 END) AS fn, count(*) AS n FROM s) SELECT round((n-fp-fn)/n::double,6) AS accuracy, round(tp/(tp+fp)::double,6) AS precision, round(tp/(tp+fn)::double,6) AS recall FROM c")
+def threshold_scores(spark, d):
+    s = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id").select(F.col("quality").alias("label"), (F.col("n_chars") % 1000 / 1000.0).alias("score"))
+    return T.at_threshold(s, "score", "label").select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
+@query(sql("SELECT i.id, user_id, kind, len(genres) AS n_genres, price_min, v.name AS venue_name FROM interactions i JOIN catalog c USING (event_id) LEFT JOIN venues v USING (venue_id) WHERE ts >= timestamp '2024-01-15' - to_days(180) AND ts <= timestamp '2024-01-15'", "interactions", "catalog", "venues"))
+def enriched_interactions(spark, d):
+    from lumenfare.sources.tables import as_of, venues
+
+    return T.enriched(interactions(spark, d), catalog(spark, d), venues(spark, d), as_of()).select("id", "user_id", "kind", F.size("genres").cast("long").alias("n_genres"), "price_min", "venue_name")
+
+
+@query()
+def ranker_weights(spark, d):
+    """A logistic ranker of three features, trained on four fifths of every user's examples with early stopping; one row
+    a feature. Held against numpy in the tests."""
+    e = catalog(spark, d).select("event_id", "popularity", (F.hour("date_time") / 23.0).alias("hour"), F.coalesce(F.col("price_min") / 2000.0, F.lit(0.0)).alias("price"))
+    rows = T.split(_examples(spark, d).join(e, "event_id"), "user_id", ["event_id"])
+    names = ["popularity", "hour", "price"]
+    w, loss = T.train_ranker(rows, names, "label", "part")
+    return spark.createDataFrame([(n, float(x), float(loss)) for n, x in zip([*names, "bias"], w)], "feature string, weight double, loss double")
