@@ -1,6 +1,7 @@
-"""Registered queries of stream metrics, run over the whole events table as one available batch."""
+"""Registered queries of stream metrics, run over the whole events table as files that arrive in order of time."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,33 +9,45 @@ from lumenfare.plans.query import query
 from lumenfare.sources.tables import interactions, read, sql
 from lumenfare.streaming import metrics as M
 
+#: Files that the events are laid out in, and files of a batch.
+FILES, BATCH = 8, 2
 
-def drained(spark, d, made, mode: str):
-    """The result of a streaming aggregation once it has read every event, from a memory sink."""
-    import uuid
 
-    name = f"metrics_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    s = M.stream(spark, d, read(spark, d, "events").schema, glob="events.parquet")
-    q = made(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def shared_folder(spark) -> str:
+    """A new folder where the cluster's spark.checkpoint.dir is; a local run without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(spark, d, made, keys: list[str]):
+    """The result of a streaming aggregation once it has read every event, in several batches."""
+    folder, events = shared_folder(spark), read(spark, d, "events")
+    events.repartitionByRange(FILES, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/events")
+    return M.flushed(made(M.stream(spark, f"{folder}/events", events.schema, BATCH)), keys, folder)
 
 
 @query("SELECT date_trunc('day', ts)::timestamp AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
-    r = drained(spark, d, M.daily_counts, "complete")
+    r = drained(spark, d, M.daily_counts, ["day", "event_type"])
     return r.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_running_counts(spark, d):
-    return drained(spark, d, M.running_counts, "complete")
+    return drained(spark, d, M.running_counts, ["event_type"])
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY ALL")
+def stream_running_users(spark, d):
+    r = drained(spark, d, M.running_users, ["event_type", "user_id"])
+    return r.groupBy("event_type").agg(F.count("*").alias("users"), F.sum("n").alias("n"))
 
 
 @query("SELECT (date_trunc('day', ts)::timestamp - to_days(k::int)) AS start, count(*) AS n FROM events, range(0,7) t(k) GROUP BY ALL")
 def stream_sliding_week(spark, d):
-    return drained(spark, d, M.sliding_counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return drained(spark, d, M.sliding_counts, ["start"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query()

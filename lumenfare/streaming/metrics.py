@@ -32,6 +32,25 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def running_users(events: DataFrame) -> DataFrame:
+    """Events by type and user; the rows of a type are its distinct users, exactly."""
+    return events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+def flushed(counts: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The state of a streaming aggregation once all its input is read: every batch's changed rows are written under
+    `folder`, over what a failed try of that batch left, and each key's row of the last batch counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/changes/{number:09d}")
+
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    changes = counts.sparkSession.read.parquet(f"{folder}/changes/*")
+    rest = [c for c in counts.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
 def limit_rate(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """(id, user_id, ts, allowed): a request passes if fewer than `most` that passed lie less than `seconds` before it.
 
