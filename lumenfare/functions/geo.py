@@ -32,3 +32,18 @@ def ring(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def nearness(km: Column, half: float = 5.0) -> Column:
     """1 at no distance, 1/2 at `half` km."""
     return 1 / (1 + km / half)
+
+
+# The ellipsoid of WGS 84.
+SEMI_MAJOR_KM, FLATTENING = 6378.137, 1 / 298.257223563
+
+
+def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance on the ellipsoid by Lambert's formula, some ten metres off at thousands of kilometres."""
+    b1, b2 = (F.atan((1 - FLATTENING) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    angle = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (angle - F.sin(angle)) * F.pow(F.sin(p) * F.cos(q) / F.cos(angle / 2), 2)
+    y = (angle + F.sin(angle)) * F.pow(F.cos(p) * F.sin(q) / F.sin(angle / 2), 2)
+    return F.when(angle == 0, 0.0).otherwise(SEMI_MAJOR_KM * (angle - FLATTENING / 2 * (x + y)))

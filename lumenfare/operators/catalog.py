@@ -67,6 +67,14 @@ def price_band(price: Column) -> Column:
     return F.when(price < 100, "under 100").when(price < 1000, "100-1000").when(price < 2000, "1000-2000").otherwise("2000 and more")
 
 
+def banded(price: Column, edges: list[float]) -> Column:
+    """The first edge that a price is below, as `<edge`, or `>=` the last one; a missing price is in the last band."""
+    out = F.lit(f">={edges[-1]:g}")
+    for e in reversed(edges):
+        out = F.when(price < e, f"<{e:g}").otherwise(out)
+    return out
+
+
 def vote_score(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("event_id").agg((F.count_if(F.col("kind") == "like") - F.count_if(F.col("kind") == "dislike")).alias("score"))
 

@@ -144,3 +144,16 @@ def nearest_users(model, users: DataFrame, k: int = 5) -> DataFrame:
     vectors = model.userFactors.select(F.col("id").alias("vec_id"), F.col("features").alias("embedding"))
     asked = factors(model, "user", users).select(F.col("id").alias("vec_id"), F.col("features").alias("embedding"))
     return nearest(vectors, asked, k)
+
+
+def training_weights(interactions: DataFrame) -> DataFrame:
+    """(user_id, event_id, w, is_positive): the sum of the weights of a user's interactions with an event, visits by
+    their rating; positive above 0."""
+    w = interactions.groupBy("user_id", "event_id").agg(F.sum(weight(F.col("kind"), F.col("rating"))).alias("w"))
+    return w.withColumn("is_positive", F.col("w") > 0)
+
+
+def sampled(items: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n items in an order that only the key and the seed give, as a draw without replacement that every run repeats."""
+    mixed = (F.col(key) * (2 * seed + 7919) + seed * 104729) % 1000003
+    return items.orderBy(mixed, key).limit(n)

@@ -77,6 +77,18 @@ def carried(blocks: DataFrame, by: str, pos: str, header: Column) -> DataFrame:
     return blocks.withColumn("current", F.last(header, ignorenulls=True).over(W.partitionBy(by).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)))
 
 
+# Words of events, places and times in announcements.
+EVENT_WORDS = ["concert", "exhibition", "performance", "show", "festival", "market", "screening", "workshop", "tour", "opening", "closing", "premiere", "live", "event", "celebration", "party", "gathering", "meeting", "koncert", "udstilling", "forestilling", "marked"]
+PLACE_WORDS = ["at ", "venue", "location", "address", "copenhagen", "københavn", "museum", "gallery", "theater", "theatre", "club", "bar", "hall", "center", "centre", "park", "square", "street"]
+TIME_WORDS = ["time", "clock", "am", "pm", ":", "from", "until", "to", "klokken", "kl", "fra", "til"]
+
+
+def event_blocks(pages: DataFrame, least: int = 50) -> DataFrame:
+    """(page_id, pos, block) of the lines of pages' texts (page_id, text) that are long enough and look like an event."""
+    b = pages.select("page_id", F.posexplode(F.split("text", "\n")).alias("pos", "block")).withColumn("block", F.trim("block"))
+    return b.where((F.length("block") >= least) & looks_like_event(F.col("block"), EVENT_WORDS, PLACE_WORDS, TIME_WORDS))
+
+
 def looks_like_event(text: Column, event_words: list[str], place_words: list[str], time_words: list[str], least: int = 30) -> Column:
     """An event word and a word of place or time, in a text of at least `least` characters."""
     has = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(F.lower(text), w))
