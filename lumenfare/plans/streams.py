@@ -50,7 +50,10 @@ def stream_sliding_week(spark, d):
     return drained(spark, d, M.sliding_counts, ["start"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+_LOG = "r AS (SELECT id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM interactions), w AS (SELECT id, user_id, ts, n, true AS allowed, [ts] AS log FROM r WHERE n=1 UNION ALL SELECT id, user_id, ts, n, len(kept)<3, CASE WHEN len(kept)<3 THEN list_append(kept, ts) ELSE kept END FROM (SELECT r.*, list_filter(w.log, lambda x: r.ts - x < INTERVAL 24 HOUR) AS kept FROM w JOIN r ON r.user_id=w.user_id AND r.n=w.n+1))"
+
+
+@query(sql(f", {_LOG} SELECT id, user_id, ts, allowed FROM w", "interactions").replace("WITH ", "WITH RECURSIVE ", 1))
 def rate_limiter(spark, d):
     return M.limit_rate(interactions(spark, d), 3, 24 * 3600)
 
