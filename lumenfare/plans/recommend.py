@@ -41,7 +41,8 @@ def nearest_prototype(spark, d):
     v = read(spark, d, "embeddings")
     m = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     p = m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"))
-    s = v.select("vec_id", "embedding").join(F.broadcast(p)).withColumn("s", S.cosine(F.col("embedding"), F.col("p")))
+    few = p.count() <= 1000
+    s = v.select("vec_id", "embedding").join(F.broadcast(p) if few else p).withColumn("s", S.cosine(F.col("embedding"), F.col("p")))
     best = s.groupBy("vec_id").agg(F.max(F.struct("s", -F.col("label"))).alias("b"))
     return best.select("vec_id", (-F.col("b.col2")).alias("label"), F.round("b.s", 5).alias("score"))
 

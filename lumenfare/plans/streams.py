@@ -1,5 +1,6 @@
 """Registered queries of stream metrics, run over the whole events table as files that arrive in order of time."""
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ FILES, BATCH = 8, 2
 def shared_folder(spark) -> str:
     """A new folder where the cluster's spark.checkpoint.dir is; a local run without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
     return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
