@@ -619,7 +619,7 @@ def test_encoder_equals_library_on_all_of_unicode(name, spaced):
     rng = random.Random(8)
     points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     near = [c for c in points if c < 0x3000] + rng.sample(points, 3000)
-    texts = [chr(c) for c in near] + [f"a{chr(c)}b" for c in near]
+    texts = [chr(c) for c in near] + [f"a{chr(c)}b" for c in near] + [f"{chr(c)}{m}" for c in near for m in (".", ",", ". x")]
     letter = lambda: chr(rng.choice(points) if rng.random() < 0.3 else rng.randrange(32, 0x250))
     texts += ["".join(rng.choice((" ", "\n", "a", "é", ".", "'s")) if rng.random() < 0.3 else letter() for _ in range(rng.randrange(1, 12))) for _ in range(10000)]
     t, e = Tokenizer.from_file(tokenizer(name)), Encoder(tokenizer(name), spaced)
