@@ -7,6 +7,8 @@ two such characters in a row, one at an end, or a special token's string goes to
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 from lumenfare.llm.common import forget, kept
@@ -33,17 +35,10 @@ class _Words(dict):
 
     def __init__(self, tokenizer, prefix: str, lower: bool):
         self.tokenizer, self.prefix, self.lower = tokenizer, prefix, lower
+        self.lead = prefix.translate(_LETTERS)
         self.older: dict[str, bytes] = {}
-        self.marks = {m: self._any(m) for m in (".", ",")}
-
-    def _core(self, word: str) -> bytes:
-        """A word of Latin letters is one pre-token, so the tokenizer's model takes it directly, if the tokenizer's own
-        normaliser leaves nothing but letters of it."""
-        low = word.lower() if self.lower and word.isascii() else self.tokenizer.normalizer.normalize_str(word) if self.lower else word
-        if not low.isalpha():
-            return self._any(self.prefix + word)
-        letters = (self.prefix + low).encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        self.tokenize = tokenizer.model.tokenize
+        self.marks = {m: self._any(m) for m in ".,!?;:"}
 
     def _any(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,10 +54,16 @@ class _Words(dict):
             return ids
         mark = self.marks.get(word[-1:])
         core = word if mark is None else word[:-1]
-        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
-            ids = self._core(core) if mark is None else self[core] + mark
-        else:
+        plain = core.isascii()
+        low = core.lower() if self.lower else core
+        # Latin letters whose lower case is letters too are one pre-token of the model, and a mark behind them another.
+        if not (core.isalpha() and (plain or max(core) < "ɐ" and low.isalpha())):
             ids = self._any(self.prefix + word)
+        elif mark is None:
+            pieces = [t.id for t in self.tokenize(self.lead + (low if plain else low.encode().decode("latin-1").translate(_LETTERS)))]
+            ids = struct.pack(f"<{len(pieces)}I", *pieces)
+        else:
+            ids = self[core] + mark
         if len(word) <= SHORT:
             self[word] = ids
         return ids
