@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfare.llm import audio, html_text, jaccard_join, mixing, packing, pii, quality_rules, token_counts, token_store, toxicity
+from lumenfare.llm import alignment, audio, html_text, jaccard_join, mixing, order_minhash, packing, pii, prefix_trie, quality_rules, token_counts, token_store, toxicity
 from lumenfare.llm.common import prepare, shared_path, table
 
 
@@ -61,7 +61,19 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.align(audio.media_of(table(prepare(spark), sf_dir, "embeddings")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_pii, op5_html, op6_jaccard, op7_quality, op8_mixing, op9_token_store, op10_audio)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(prepare(spark), sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
-#: None of these can be said in SQL: each is held against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_next(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(prepare(spark), sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_pii, op5_html, op6_jaccard, op7_quality, op8_mixing, op9_token_store, op10_audio, op11_alignment, op12_order_minhash, op13_prefix_trie)}
+
+#: The others can't be said in SQL: each is held against a brute-force version in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": prefix_trie.SQL}
