@@ -78,21 +78,19 @@ def _digests(ends: DataFrame) -> DataFrame:
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, digest = None, None
-        done = lambda: pd.DataFrame([[*node, digest.hexdigest()]], columns=[*_NODE, "ends_sha256"])
         for pdf in frames:
             out = []
-            for *here, ids in pdf[[*_NODE, "ids"]].itertuples(index=False):
+            for *here, ids in zip(*[pdf[c].tolist() for c in (*_NODE, "ids")]):
                 if here == node:
                     digest.update(b",")
                 else:
                     if node is not None:
-                        out.append(done())
+                        out.append((*node, digest.hexdigest()))
                     node, digest = here, hashlib.sha256()
                 digest.update(ids.encode())
-            if out:
-                yield pd.concat(out)
+            yield pd.DataFrame(out, columns=[*_NODE, "ends_sha256"])
         if node is not None:
-            yield done()
+            yield pd.DataFrame([(*node, digest.hexdigest())], columns=[*_NODE, "ends_sha256"])
 
     part = ends.groupBy(*_NODE, F.floor(F.col("conv_id") / JOINED).alias("range")).agg(F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",").alias("ids"))
     return part.repartition(*_NODE).sortWithinPartitions(*_NODE, "range").mapInPandas(emit, "depth long, p1 long, p2 long, ends_sha256 string")
