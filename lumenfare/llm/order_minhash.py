@@ -119,7 +119,7 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _COLUMNS = [c.split()[0] for c in _RESULT.split(", ")]
 
 
@@ -134,7 +134,7 @@ class _Seen:
 def _compared(doc_id, a: _Seen, b: _Seen) -> tuple:
     text, own, others, new = a.text, a.own, b.own, edited(a.text, b.text)
     changed = own if new == text else signature(spliced(text, b.text, a.kmers, b.kmers))
-    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u4").tobytes().hex(), changed.astype(">u4").tobytes().hex(), likeness(own, changed), likeness(own, others))
+    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u4").tobytes(), changed.astype(">u4").tobytes(), likeness(own, changed), likeness(own, others))
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
@@ -184,4 +184,5 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
     every = W.orderBy("part")  # one row a range
     links = last.select("part", F.coalesce(F.lag("part").over(every), F.max("part").over(W.partitionBy())).alias("from_part"))
     first = walked.where("kind = 1").select("part", "doc_id", "text").join(links, "part").join(last.withColumnRenamed("part", "from_part"), "from_part")
-    return walked.where("kind = 0").select(*_COLUMNS).unionByName(first.select("doc_id", "text", "other").mapInPandas(close, _RESULT))
+    out = walked.where("kind = 0").select(*_COLUMNS).unionByName(first.select("doc_id", "text", "other").mapInPandas(close, _RESULT))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
