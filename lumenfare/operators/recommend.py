@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenfare.functions import scores as S
-from lumenfare.operators.sequence import walked
+from lumenfare.operators.sequence import chained, counted, walked
+from lumenfare.sources.shared import stored
 
 # The weight of each kind of interaction.
 WEIGHTS = {"like": 1.0, "going": 2.0, "went": 1.5, "save": 0.8, "dislike": -0.5}
@@ -68,6 +69,31 @@ def anchored_windows(df: DataFrame, user: str, at: str, hours: int = 24) -> Data
     return walked(df, user, at, "id", "win", df.schema[at].dataType, step)
 
 
+def chained_windows(df: DataFrame, user: str, at: str, hours: int = 24) -> DataFrame:
+    """anchored_windows without a walk over rows; rows without user, time or id have no window (null).
+
+    A window's next one opens at its user's first row that is later than `hours` after it: a jump from each row to
+    another, found by sorting rows together with markers that stand `hours` later. The rows that a user's first one
+    reaches by jumps open the windows; doubling the jumps finds them in log n rounds of joins, one user's rows in many
+    tasks.
+    """
+    span, known = hours * 3_600_000_000, F.col(user).isNotNull() & F.col(at).isNotNull() & F.col("id").isNotNull()
+    t = df.where(known).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    t = stored(counted(t, user, "_us", "_node", order=["id"], width=span))
+    rows = t.select(F.col(user).alias("group"), F.col("_us").alias("us"), F.col("_node").alias("node"))
+    # Behind the rows of its time, a marker counts the rows of the window that its row would open, and all before.
+    marks = rows.withColumn("us", F.col("us") + span).unionByName(rows.withColumn("node", F.lit(None).cast("long")))
+    ends = counted(marks, "group", "us", "upto", F.col("node").isNull(), [F.asc_nulls_first("node")], span).where("node is not null")
+    last = rows.groupBy("group").agg(F.max("node").alias("last"))
+    jumps = ends.join(last, "group").where("upto < last").select("group", "node", (F.col("upto") + 1).alias("to"))
+    opened = chained(jumps, rows.where("node = 1")).select(F.col("group").alias(user), F.col("node").alias("_node"), F.lit(True).alias("_opens"))
+    # A row's window is the n-th of its user's, n being the number of openings up to the row.
+    o = stored(counted(t.join(opened, [user, "_node"], "left"), user, "_us", "_no", F.col("_opens").isNotNull(), ["_node"], span))
+    starts = o.where("_opens").select(user, "_no", F.col(at).alias("win"))
+    out = o.join(starts, [user, "_no"]).select(*df.columns, "win")
+    return out.unionByName(df.where(~known).withColumn("win", F.lit(None).cast(df.schema[at].dataType)))
+
+
 def cooccurrence(windowed: DataFrame, user: str) -> DataFrame:
     """(a, b, weight): how often two items stand in one user's window, over the most frequent pair's count."""
     items = windowed.select(user, "win", F.col("event_id").alias("e")).distinct()

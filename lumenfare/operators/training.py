@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenfare.operators.sequence import counted
+
 
 def positives(interactions: DataFrame, least: int = 3) -> DataFrame:
     """(user_id, event_id) of positive interactions, of users with at least `least` interactions."""
@@ -38,6 +40,29 @@ def negatives(pos: DataFrame, items: DataFrame, ratio: int = 5, tries: int = 10)
     return first.withColumn("r", F.row_number().over(W.partitionBy("user_id", "anchor").orderBy("k"))).where(F.col("r") <= ratio).select("user_id", "event_id").distinct()
 
 
+def exact_negatives(pos: DataFrame, items: DataFrame, ratio: int = 5) -> DataFrame:
+    """(user_id, anchor, event_id): for each positive (user_id, event_id), its anchor, min(ratio, unseen) different items
+    that the user has no positive with, unseen being the number of those.
+
+    Items are numbered, and a user's unseen ones have ranks 0 to unseen - 1 among themselves. An anchor takes ranks that
+    lie unseen / take apart, from a start that the ids give. Rank r is item r + k, where k counts the user's positives
+    whose slot less those before is at most r: ranks and positives are sorted together, in blocks, so that one user's
+    rows lie in many tasks, no draw is repeated and none fails. Repeated positives count once; null ids and items that
+    are not in `items` are not drawn from.
+    """
+    slots = numbered(items.select("event_id").where("event_id is not null").distinct(), "event_id")
+    pos = pos.select("user_id", "event_id").where("user_id is not null and event_id is not null").distinct()
+    seen = counted(pos.join(slots, "event_id").select("user_id", "slot"), "user_id", "slot", "place")
+    seen = seen.select("user_id", (F.col("slot") - F.col("place") + 1).alias("rank"))
+    n, own = slots.agg(F.count("*").alias("n")), seen.groupBy("user_id").agg(F.count("*").alias("m"))
+    draws = pos.join(own, "user_id", "left").join(F.broadcast(n)).withColumn("unseen", F.col("n") - F.coalesce("m", F.lit(0))).where("unseen > 0")
+    draws = draws.withColumn("take", F.least("unseen", F.lit(ratio))).withColumn("k", F.explode(F.expr("sequence(0L, take - 1)")))
+    rank = (F.pmod(F.col("user_id") * 7919 + F.col("event_id") * 104729, F.col("unseen")) + F.col("k") * F.floor(F.col("unseen") / F.col("take"))) % F.col("unseen")
+    both = seen.select("user_id", "rank", F.lit(None).cast("long").alias("anchor")).unionByName(draws.select("user_id", rank.alias("rank"), F.col("event_id").alias("anchor")))
+    found = counted(both, "user_id", "rank", "seen", F.col("anchor").isNull(), [F.asc_nulls_first("anchor")]).where("anchor is not null")
+    return found.select("user_id", "anchor", (F.col("rank") + F.col("seen")).alias("slot")).join(slots, "slot").select("user_id", "anchor", "event_id")
+
+
 def split(df: DataFrame, by: str, order: list, share: float = 0.8) -> DataFrame:
     """df with part: train for the first floor(share * n) rows of each group, else test."""
     w = W.partitionBy(by)

@@ -135,7 +135,7 @@ def _recursive(body: str) -> str:
 
 @query(_recursive("SELECT id, user_id, event_id, ts, win FROM w"))
 def anchored_windows(spark, d):
-    return _windows(spark, d)
+    return R.chained_windows(interactions(spark, d).select("id", "user_id", "event_id", "ts"), "user_id", "ts")
 
 
 @query(_recursive(", p AS (SELECT DISTINCT user_id, win, event_id AS e FROM w), c AS (SELECT a.e AS a, b.e AS b, count(*) AS n FROM p a JOIN p b ON a.user_id=b.user_id AND a.win=b.win AND a.e<b.e GROUP BY ALL) SELECT a, b, n, round(n/max(n) OVER (),6) AS weight FROM c"))

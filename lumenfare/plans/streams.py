@@ -1,12 +1,9 @@
 """Registered queries of stream metrics, run over the whole events table as files that arrive in order of time."""
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lumenfare.plans.query import query
+from lumenfare.sources.shared import shared_folder
 from lumenfare.sources.tables import interactions, read, sql
 from lumenfare.streaming import metrics as M
 
@@ -14,14 +11,6 @@ from lumenfare.streaming import metrics as M
 FILES, BATCH = 8, 2
 
 
-def shared_folder(spark) -> str:
-    """A new folder where the cluster's spark.checkpoint.dir is; a local run without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
-    return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(spark, d, made, keys: list[str]):
     """The result of a streaming aggregation once it has read every event, in several batches."""
     folder, events = shared_folder(spark), read(spark, d, "events")

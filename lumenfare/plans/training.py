@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lumenfare.operators import network as N
 from lumenfare.operators import recommend as R
 from lumenfare.operators import training as T
 from lumenfare.plans.query import query
@@ -20,6 +21,12 @@ def negative_samples(spark, d):
     return T.negatives(T.positives(interactions(spark, d)), catalog(spark, d))
 
 
+@query(sql(f", {_POS}, un AS (SELECT user_id, c.event_id, row_number() OVER (PARTITION BY user_id ORDER BY c.event_id)-1 AS r, count(*) OVER (PARTITION BY user_id) AS unseen FROM (SELECT DISTINCT user_id FROM pos) u, catalog c WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id=u.user_id AND p.event_id=c.event_id)), m AS (SELECT DISTINCT user_id, unseen FROM un), d AS (SELECT user_id, event_id AS anchor, ((user_id*7919+event_id*104729)%unseen+k*(unseen//least(unseen,5)))%unseen AS r FROM pos JOIN m USING (user_id), range(0,5) t(k) WHERE k<least(unseen,5)) SELECT user_id, anchor, event_id FROM d JOIN un USING (user_id, r)", "interactions", "catalog"))
+def exact_negatives(spark, d):
+    """Five different unseen events for each positive, or all if there are fewer."""
+    return T.exact_negatives(T.positives(interactions(spark, d)), catalog(spark, d))
+
+
 @query(sql("SELECT id, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, id) <= floor(count(*) OVER (PARTITION BY user_id)*0.8::double) THEN 'train' ELSE 'test' END AS part FROM interactions", "interactions"))
 def chronological_split(spark, d):
     return T.split(interactions(spark, d).select("id", "user_id", "ts"), "user_id", ["ts", "id"]).select("id", "user_id", "part")
@@ -94,3 +101,20 @@ def ranker_weights(spark, d):
     names = ["popularity", "hour", "price"]
     w, loss = T.train_ranker(rows, names, "label", "part")
     return spark.createDataFrame([(n, float(x), float(loss)) for n, x in zip([*names, "bias"], w)], "feature string, weight double, loss double")
+
+
+_INPUTS = ["popularity", "hour", "day", "price_low", "price_high", "n_genres", "free", "has_topic"]
+
+
+def _inputs(spark, d):
+    e = catalog(spark, d)
+    return e.select("event_id", "popularity", (F.hour("date_time") / 23.0).alias("hour"), (F.weekday("date_time") / 6.0).alias("day"), (F.col("price_min") / 2000.0).alias("price_low"), (F.col("price_max") / 2000.0).alias("price_high"), (F.size("genres") / 5.0).alias("n_genres"), F.col("is_free").cast("double").alias("free"), F.col("topic").isNotNull().cast("double").alias("has_topic"))
+
+
+@query()
+def network_ranking(spark, d):
+    """Every event's probability by a network of eight inputs, 64 and 32 units, trained on four fifths of every user's
+    examples and stopped early by the others. No SQL can train; the tests hold training against plain steps."""
+    rows = T.split(_examples(spark, d).join(_inputs(spark, d), "event_id"), "user_id", ["event_id"])
+    w, _ = N.train(rows, _INPUTS, "label", "part", epochs=8, batches=2, patience=3)
+    return N.scored(_inputs(spark, d), _INPUTS, [len(_INPUTS), 64, 32, 1], w).select("event_id", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfare.plans import catalog, collaborative, extras, features, hybrid, ingest, landing, notices, recommend, requests, streams, texts, training  # noqa: F401
+from lumenfare.plans import catalog, collaborative, extras, features, hybrid, ingest, landing, notices, pairwise, recommend, requests, streams, texts, training  # noqa: F401
 from lumenfare.plans.query import ORACLE, QUERIES, Query
 
 
