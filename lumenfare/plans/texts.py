@@ -15,12 +15,12 @@ STOP = ["the", "and", "that", "der", "die", "und", "les", "des", "que", "los"]
 GENRES = ["ring", "house", "tion", "ment", "heit", "rock"]
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,'(https?://|www\\.)[^ \\t\\n\\r]+','','g'),'#([A-Za-z0-9_]+)','\\1','g'),'@[A-Za-z0-9_]+','','g'),'[!?.,;:*#%&$-]{3,}',' ','g'),'[ \\t\\n\\r]+',' ','g'))) AS cleaned FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,'(https?://|www\\.)[^ \\t\\n\\r]+','','g'),'#([\\pL\\pN_]+)','\\1','g'),'@[\\pL\\pN_]+','','g'),'[!?.,;:*#%&$-]{3,}',' ','g'),'[ \\t\\n\\r]+',' ','g'))) AS cleaned FROM documents")
 def clean_text(spark, d):
     return read(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("cleaned"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text,'@([A-Za-z0-9_]+)',1), lambda x: lower(x)),',') AS mentions, array_to_string(list_transform(regexp_extract_all(text,'#([A-Za-z0-9_]+)',1), lambda x: lower(x)),',') AS hashtags FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text,'@([\\pL\\pN_]+)',1), lambda x: lower(x)),',') AS mentions, array_to_string(list_transform(regexp_extract_all(text,'#([\\pL\\pN_]+)',1), lambda x: lower(x)),',') AS hashtags FROM documents")
 def hashtags_mentions(spark, d):
     t = F.col("text")
     return read(spark, d, "documents").select("doc_id", F.array_join(X.mentions(t), ",").alias("mentions"), F.array_join(X.hashtags(t), ",").alias("hashtags"))
@@ -42,12 +42,12 @@ def genre_keywords(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(X.keywords(F.col("text"), GENRES), ",").alias("genres"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9_ \\t\\n]','','g'),'[ \\t\\n]+',' ','g')) AS title_key FROM documents WHERE lang='en'")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^\\pL\\pN_ \\t\\n]','','g'),'[ \\t\\n]+',' ','g')) AS title_key FROM documents WHERE lang='en'")
 def title_norm(spark, d):
     return read(spark, d, "documents").where("lang = 'en'").select("doc_id", X.title_key(F.col("text")).alias("title_key"))
 
 
-@query("SELECT doc_id, substring(regexp_replace(trim(string_split_regex(text,'[.!?]')[1]),'^[^A-Za-z0-9_]+',''),1,100) AS title FROM documents WHERE lang='en'")
+@query("SELECT doc_id, substring(regexp_replace(trim(string_split_regex(text,'[.!?]')[1]),'^[^\\pL\\pN_]+',''),1,100) AS title FROM documents WHERE lang='en'")
 def first_sentence(spark, d):
     return read(spark, d, "documents").where("lang = 'en'").select("doc_id", X.first_sentence(F.col("text")).alias("title"))
 
@@ -117,13 +117,13 @@ def tfidf_vectors(spark, d):
     return R.tf_idf(terms).withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9_ \\t\\n]','','g'),'[ \\t\\n]+',' ','g')) AS title_key FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^\\pL\\pN_ \\t\\n]','','g'),'[ \\t\\n]+',' ','g')) AS title_key FROM documents")
 def title_norm_all(spark, d):
     """title_norm of every document, of whatever language."""
     return read(spark, d, "documents").select("doc_id", X.title_key(F.col("text")).alias("title_key"))
 
 
-@query("SELECT doc_id, substring(regexp_replace(trim(string_split_regex(text,'[.!?]')[1]),'^[^A-Za-z0-9_]+',''),1,100) AS title FROM documents")
+@query("SELECT doc_id, substring(regexp_replace(trim(string_split_regex(text,'[.!?]')[1]),'^[^\\pL\\pN_]+',''),1,100) AS title FROM documents")
 def first_sentence_all(spark, d):
     """first_sentence of every document, of whatever language."""
     return read(spark, d, "documents").select("doc_id", X.first_sentence(F.col("text")).alias("title"))

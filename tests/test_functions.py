@@ -103,3 +103,14 @@ def test_listings(spark):
     assert (r.image_url, r.description, r.date_time.date()) == ("w", "n", dt.date(2025, 3, 1))
     lu = spark.createDataFrame([('{"slug":"x","title":"T","startTime":"2025-01-01T10:00:00Z"}',), ('{"slug":"y"}',)], "value string")
     assert [r.source_id for r in listings.embedded_json(lu).collect()] == ["x"]
+
+
+def test_words_beyond_ascii(spark):
+    """Letters of any script are letters of tags, mentions, titles and first sentences."""
+    texts = ["Århus får en ny café. Og mere", "¡Ñandú! sí", "mød @søren på #kødbyen, #año_1", "你好, мир"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    got = df.orderBy("i").select(text.first_sentence(t).alias("s"), text.title_key(t).alias("k"), text.hashtags(t).alias("h"), text.mentions(t).alias("m"), text.clean(t).alias("c")).collect()
+    assert [r.s for r in got][:2] == ["Århus får en ny café", "Ñandú"]
+    assert [r.k for r in got] == ["århus får en ny café og mere", "ñandú sí", "mød søren på kødbyen año_1", "你好 мир"]
+    assert got[2].h == ["kødbyen", "año_1"] and got[2].m == ["søren"] and got[2].c == "mød på kødbyen, año_1"
