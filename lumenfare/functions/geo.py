@@ -1,5 +1,7 @@
 """Distances and cells on the sphere, as column expressions."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,35 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     x = (angle - F.sin(angle)) * F.pow(F.sin(p) * F.cos(q) / F.cos(angle / 2), 2)
     y = (angle + F.sin(angle)) * F.pow(F.cos(p) * F.sin(q) / F.sin(angle / 2), 2)
     return F.when(angle == 0, 0.0).otherwise(SEMI_MAJOR_KM * (angle - FLATTENING / 2 * (x + y)))
+
+
+# The point that hexagons are laid out from, a city's centre.
+CENTRE_LAT, CENTRE_LON = 55.6761, 12.5683
+
+
+def hexagon(lat: Column, lon: Column, edge_km: float = 0.5, lat0: float = CENTRE_LAT, lon0: float = CENTRE_LON) -> tuple[Column, Column]:
+    """Axial coordinates (q, r) of the hexagon, `edge_km` to an edge, that a point lies in.
+
+    Hexagons have a corner up and lie on the plane that touches the sphere's parallel at lat0, so they keep their size
+    near lat0 and narrow or widen far from it. The ids are this library's own. Points between hexagons go by rounding all
+    three cube coordinates and mending the one that moved most.
+    """
+    x = F.radians(lon - lon0) * RADIUS_KM * math.cos(math.radians(lat0))
+    y = F.radians(lat - lat0) * RADIUS_KM
+    q, r = (x * (3**0.5 / 3) - y / 3) / edge_km, y * (2 / 3) / edge_km
+    rounded = lambda v: F.floor(v + 0.5)
+    a, b, c = rounded(q), rounded(r), rounded(-q - r)
+    off_a, off_b, off_c = F.abs(a - q), F.abs(b - r), F.abs(c + q + r)
+    mend_a = (off_a > off_b) & (off_a > off_c)
+    return F.when(mend_a, -b - c).otherwise(a), F.when(~mend_a & (off_b > off_c), -a - c).otherwise(b)
+
+
+def hexagon_rings(q1: Column, r1: Column, q2: Column, r2: Column) -> Column:
+    """How many rings of hexagons apart two hexagons are."""
+    return F.greatest(F.abs(q1 - q2), F.abs(r1 - r2), F.abs(q1 + r1 - q2 - r2))
+
+
+def hexagon_disk(rings: int) -> list[tuple[int, int, int]]:
+    """(dq, dr, ring) of the hexagons at most `rings` rings around one, itself included: 6 in ring 1, 12 in ring 2."""
+    span = range(-rings, rings + 1)
+    return [(q, r, max(abs(q), abs(r), abs(q + r))) for q in span for r in span if abs(q + r) <= rings]
