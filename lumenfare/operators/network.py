@@ -13,7 +13,7 @@ from lumenfare.operators.training import EarlyStop
 from lumenfare.sources.shared import stored
 
 #: Bucket of the rows that are validated on.
-_HELD = -1
+HELD = -1
 
 
 def begun(sizes: list[int], seed: int = 0) -> np.ndarray:
@@ -70,35 +70,46 @@ class Adam:
         return w - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def _added_up(rows: DataFrame, sizes: list[int], w: np.ndarray) -> np.ndarray:
-    """The gradient and, behind it, loss and number of the training rows, and of the others. A task adds its rows up;
-    the arrays meet place by place, so that no task adds more than its share of places."""
-    shared = rows.sparkSession.sparkContext.broadcast(w)
+def added_up(rows: DataFrame, nets: list[tuple[list[int], np.ndarray]]) -> list[np.ndarray]:
+    """For each network (sizes, weights) the gradient and, behind it, loss and number of the training rows, and of the
+    others. A task reads its rows once for all networks and adds them up; the arrays meet place by place, so that no task
+    adds more than its share of places."""
+    shared = rows.sparkSession.sparkContext.broadcast(nets)
+    ends = np.cumsum([len(w) + 4 for _, w in nets])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
-        total = np.zeros(len(w) + 4)
+        totals = [np.zeros(len(w) + 4) for _, w in shared.value]
         for pdf in frames:
             if not len(pdf):
                 continue
-            x, y, held = np.array(pdf.x.tolist(), float), pdf.y.to_numpy(float), pdf.bucket.to_numpy() == _HELD
-            if not held.all():
-                g, loss = gradient(sizes, w, x[~held], y[~held])
-                total[:-4] += g
-                total[-4:-2] += loss, (~held).sum()
-            if held.any():
-                total[-2:] += losses(forward(sizes, w, x[held])[-1][:, 0], y[held]).sum(), held.sum()
-        yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+            x, y, held = np.array(pdf.x.tolist(), float), pdf.y.to_numpy(float), pdf.bucket.to_numpy() == HELD
+            for (sizes, w), total in zip(shared.value, totals):
+                if not held.all():
+                    g, loss = gradient(sizes, w, x[~held], y[~held])
+                    total[:-4] += g
+                    total[-4:-2] += loss, (~held).sum()
+                if held.any():
+                    total[-2:] += losses(forward(sizes, w, x[held])[-1][:, 0], y[held]).sum(), held.sum()
+        v = np.concatenate(totals)
+        yield pd.DataFrame({"at": np.arange(len(v)), "v": v})
 
     try:
-        out = np.zeros(len(w) + 4)
+        out = np.zeros(ends[-1])
         for at, v in rows.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
             out[at] = v
-        return out
+        return np.split(out, ends[:-1])
     finally:
         shared.destroy()
 
 
+def dealt(rows: DataFrame, features: list[str], label: str, part: str, batches: int) -> DataFrame:
+    """(x, y, bucket) of the rows with a label, as a stored table: those whose `part` is train in buckets by a hash of
+    their features and label, the others in the bucket HELD; null features are 0."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    bucket = F.when(F.col(part) == "train", F.pmod(F.xxhash64(x, label), F.lit(batches)).cast("int")).otherwise(HELD)
+    return stored(rows.where(F.col(label).isNotNull()).select(x.alias("x"), F.col(label).cast("double").alias("y"), bucket.alias("bucket")), "bucket")
+
+
 def train(rows: DataFrame, features: list[str], label: str, part: str, hidden: tuple[int, ...] = (64, 32), epochs: int = 100, batches: int = 8, rate: float = 1e-3, decay: float = 1e-5, patience: int = 15, least: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, list[dict]]:
     """The weights of a network from features through `hidden` to one probability, and the history, one entry an epoch:
     epoch, train_loss, held_loss, rate.
@@ -110,15 +121,13 @@ def train(rows: DataFrame, features: list[str], label: str, part: str, hidden: t
     without a label are left out, and no rows leave the weights as they begin.
     """
     sizes = [len(features), *hidden, 1]
-    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    bucket = F.when(F.col(part) == "train", F.pmod(F.xxhash64(x, label), F.lit(batches)).cast("int")).otherwise(_HELD)
-    data = stored(rows.where(F.col(label).isNotNull()).select(x.alias("x"), F.col(label).cast("double").alias("y"), bucket.alias("bucket")), "bucket")
+    data = dealt(rows, features, label, part, batches)
     w = begun(sizes, seed)
     adam, stop, history, best, waited = Adam(len(w), rate, decay), EarlyStop(patience, least), [], None, 0
     for epoch in range(1, epochs + 1):
         begin, held, sums = w, None, np.zeros(2)
         for k in range(batches):
-            s = _added_up(data.where(F.col("bucket").isin(k, _HELD) if not k else F.col("bucket") == k), sizes, w)
+            (s,) = added_up(data.where(F.col("bucket").isin(k, HELD) if not k else F.col("bucket") == k), [(sizes, w)])
             held = s[-2] / s[-1] if s[-1] else held
             sums += s[-4:-2]
             if s[-3]:

@@ -6,6 +6,7 @@ from lumenfare.plans.query import query
 from lumenfare.sources.shared import shared_folder
 from lumenfare.sources.tables import interactions, read, sql
 from lumenfare.streaming import metrics as M
+from lumenfare.streaming import sketches as K
 
 #: Files that the events are laid out in, and files of a batch.
 FILES, BATCH = 8, 2
@@ -51,3 +52,11 @@ def rate_limiter(spark, d):
 @query(sql("SELECT user_id, round(list_reduce(list(value ORDER BY ts, id), lambda s, x: s*0.9::double + x*0.1::double),6) AS ema FROM interactions GROUP BY user_id", "interactions"))
 def ema_latency(spark, d):
     return M.ema(interactions(spark, d), "user_id", "value", ["ts", "id"]).withColumn("ema", F.round("ema", 6))
+
+
+@query("WITH d AS (SELECT DISTINCT date_trunc('day', ts)::timestamp + to_days(k::int) AS day FROM events, range(0,7) t(k)) SELECT day, count(*) AS n, count(DISTINCT user_id) AS users FROM d JOIN events ON ts >= day - to_days(6) AND ts < day + to_days(1) WHERE day <= (SELECT max(ts) FROM events) GROUP BY day")
+def trailing_week_users(spark, d):
+    """Distinct users of the seven days that end on each day, by union of one sketch a day that a stream keeps. The SQL
+    counts exactly, which sketches do too while they hold less than some two thousand users; beyond, they estimate."""
+    r = K.trailing(drained(spark, d, K.daily_sketches, ["day"]), 7)
+    return r.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", "users")

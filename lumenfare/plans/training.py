@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenfare.operators import network as N
+from lumenfare.operators import search as H
 from lumenfare.operators import recommend as R
 from lumenfare.operators import training as T
 from lumenfare.plans.query import query
@@ -118,3 +119,12 @@ def network_ranking(spark, d):
     rows = T.split(_examples(spark, d).join(_inputs(spark, d), "event_id"), "user_id", ["event_id"])
     w, _ = N.train(rows, _INPUTS, "label", "part", epochs=8, batches=2, patience=3)
     return N.scored(_inputs(spark, d), _INPUTS, [len(_INPUTS), 64, 32, 1], w).select("event_id", "score")
+
+
+@query()
+def settings_search(spark, d):
+    """Eight settings of the ranking network by successive halving, best first. No SQL can train; the tests hold the
+    search against a loop over trials."""
+    rows = T.split(_examples(spark, d).join(_inputs(spark, d), "event_id"), "user_id", ["event_id"])
+    found, _ = H.halved(rows, _INPUTS, "label", "part", H.drawn(8), epochs=1, batches=2)
+    return spark.createDataFrame([(k, t["trial"], *t["hidden"], t["rate"], t["decay"], t["epochs"], t["loss"]) for k, t in enumerate(found, 1)], "rank long, trial long, units_1 long, units_2 long, rate double, decay double, epochs long, loss double")
