@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lumenfare.plans.query import query
 from lumenfare.sources.shared import shared_folder
 from lumenfare.sources.tables import interactions, read, sql
+from lumenfare.streaming import buffers as B
 from lumenfare.streaming import metrics as M
 from lumenfare.streaming import sketches as K
 
@@ -12,11 +13,24 @@ from lumenfare.streaming import sketches as K
 FILES, BATCH = 8, 2
 
 
+def arrived(spark, d, folder: str, closed: bool = False):
+    """The events as a stream of files in order of time, and with `closed` a last file of one row a user without an id. Files are told apart by the time they were written at, so they
+    are written one after the other; written at once they would arrive in any order, and a watermark would drop rows."""
+    events = read(spark, d, "events")
+    events.repartitionByRange(FILES, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/ranges")
+    for file in sorted(spark.read.schema(events.schema).parquet(f"{folder}/ranges").inputFiles()):
+        spark.read.schema(events.schema).parquet(file).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    if closed:
+        marks = events.select("user_id").distinct().join(F.broadcast(events.agg(F.max("ts").alias("ts"))))
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in ("user_id", "ts")]
+        marks.select("user_id", "ts", *rest).select(events.columns).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    return M.stream(spark, f"{folder}/events", events.schema, BATCH)
+
+
 def drained(spark, d, made, keys: list[str]):
     """The result of a streaming aggregation once it has read every event, in several batches."""
-    folder, events = shared_folder(spark), read(spark, d, "events")
-    events.repartitionByRange(FILES, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/events")
-    return M.flushed(made(M.stream(spark, f"{folder}/events", events.schema, BATCH)), keys, folder)
+    folder = shared_folder(spark)
+    return M.flushed(made(arrived(spark, d, folder)), keys, folder)
 
 
 @query("SELECT date_trunc('day', ts)::timestamp AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -60,3 +74,14 @@ def trailing_week_users(spark, d):
     counts exactly, which sketches do too while they hold less than some two thousand users; beyond, they estimate."""
     r = K.trailing(drained(spark, d, K.daily_sketches, ["day"]), 7)
     return r.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", "users")
+
+
+_BATCHES = "r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), w AS (SELECT user_id, ts, n, 1 AS batch, ts AS opened, 1 AS held FROM r WHERE n=1 UNION ALL SELECT r.user_id, r.ts, r.n, CASE WHEN later THEN batch+1 ELSE batch END, CASE WHEN later THEN r.ts ELSE opened END, CASE WHEN later THEN 1 ELSE held+1 END FROM (SELECT r.*, w.batch, w.opened, w.held, w.held=5 OR r.ts - w.opened >= INTERVAL 24 HOUR AS later FROM w JOIN r ON r.user_id=w.user_id AND r.n=w.n+1) r)"
+
+
+@query(f"WITH RECURSIVE {_BATCHES} SELECT user_id, opened, count(*) AS n FROM w GROUP BY user_id, opened, batch")
+def buffered_batches(spark, d):
+    """Batches of a user's events, let go of when they hold five or are a day old."""
+    folder = shared_folder(spark)
+    r = M.appended(B.buffered(arrived(spark, d, folder, True), "user_id", 5, 24 * 3600), folder)
+    return r.select("user_id", F.col("opened").cast("timestamp_ntz").alias("opened"), "n")

@@ -51,6 +51,13 @@ def flushed(counts: DataFrame, keys: list[str], folder: str) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+def appended(rows: DataFrame, folder: str) -> DataFrame:
+    """All that a stream of rows has appended once its input is read, written under `folder`."""
+    q = rows.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/rows").start()
+    q.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def limit_rate(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """(id, user_id, ts, allowed): a request passes if fewer than `most` that passed lie less than `seconds` before it.
 
