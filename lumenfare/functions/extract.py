@@ -50,11 +50,13 @@ def first_match(text: Column, patterns: list[str], least: int = 1, most: int = 1
 def venue_in(text: Column) -> Column:
     """A venue of 3 to 49 characters after `at`, `venue:`, `location:` or `@`."""
     stop = r"(?:\s|,|\.)"
+    # The patterns, in order.
     return first_match(text, [rf"(?i)at\s+([A-Z][^.!?]+?){stop}", rf"(?i)venue:\s*([^.!?]+?){stop}", rf"(?i)location:\s*([^.!?]+?){stop}", rf"(?i)(@\s*[A-Z][^.!?]+?){stop}"], 3, 49)
 
 
 def price_phrase(text: Column) -> Column:
     """What a text says of its price: free, an amount, or the rest of a sentence after price, admission or tickets."""
+    # The patterns, in order.
     return first_match(text, [r"(?i)(free|gratis)", r"(?i)([0-9]+\s*(?:kr|dkk|€|\$))", r"(?i)(price:\s*[^.!?]+)", r"(?i)(admission:\s*[^.!?]+)", r"(?i)(tickets?:\s*[^.!?]+)"])
 
 

@@ -48,9 +48,11 @@ def content_features(spark, d):
     return catalog(spark, d).select("event_id", F.length("title").cast("long").alias("title_length"), F.size("genres").cast("long").alias("n_genres"), F.array_contains("genres", "red").alias("is_red"), F.array_contains("genres", "gear").alias("is_gear"))
 
 
-@query(sql(f"SELECT user_id, count(*) AS n, count(CASE WHEN hour(ts)>=18 THEN 1 END) AS evenings, count(CASE WHEN isodow(ts)>=6 THEN 1 END) AS weekends, count(*)>=10 AS is_active, count(CASE WHEN ts>={NOW}-to_days(7) THEN 1 END)>=3 AS is_recent FROM interactions GROUP BY user_id", "interactions"))
+@query(sql(f"SELECT user_id, count(*) AS n, count(CASE WHEN hour(ts)>=18 THEN 1 END) AS evenings, count(CASE WHEN isodow(ts)>=6 THEN 1 END) AS weekends, count(*)>=10 AS is_active, count(CASE WHEN ts>{NOW}-to_days(30) THEN 1 END) AS n_recent, count(CASE WHEN ts>{NOW}-to_days(30) THEN 1 END)>=3 AS is_recent FROM interactions GROUP BY user_id", "interactions"))
 def user_context_features(spark, d):
-    return interactions(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.hour("ts") >= 18).alias("evenings"), F.count_if(F.weekday("ts") >= 5).alias("weekends"), (F.count("*") >= 10).alias("is_active"), (F.count_if(F.col("ts") >= as_of() - F.expr("interval 7 days")) >= 3).alias("is_recent"))
+    """A user's activity; recent is what came later than 30 days before now."""
+    recent = F.count_if(F.col("ts") > as_of() - F.expr("interval 30 days"))
+    return interactions(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.hour("ts") >= 18).alias("evenings"), F.count_if(F.weekday("ts") >= 5).alias("weekends"), (F.count("*") >= 10).alias("is_active"), recent.alias("n_recent"), (recent >= 3).alias("is_recent"))
 
 
 @query(sql("SELECT event_id, round(least(1.0,COALESCE(price_max,0)/2000.0),6)::double AS price_share, round(ln(1+popularity*100)/10,6) AS popularity_log FROM catalog", "catalog"))
