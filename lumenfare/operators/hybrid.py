@@ -20,25 +20,35 @@ FLAGGED = ["techno", "house", "electronic", "indie", "rock", "jazz", "pop"]
 FAMOUS = ["vega", "rust", "culture box", "loppen", "kb18", "pumpehuset"]
 
 
-def shares(events: DataFrame, names: str, interactions: DataFrame) -> DataFrame:
-    """(name, share): what part of all events and weighted interactions each name of an array column has."""
+def _named(events: DataFrame, parts: dict[str, Column], interactions: DataFrame) -> DataFrame:
+    """(event_id, part, name, w): a row for each name that an event has, of all parts (arrays) together, with 1 and the
+    event's weighted interactions as w."""
     w = F.coalesce(F.create_map(*[F.lit(x) for kv in POPULARITY.items() for x in kv])[F.col("kind")], F.lit(0.0))
     per = interactions.groupBy("event_id").agg(F.sum(w).alias("w"))
-    n = events.select("event_id", F.explode(names).alias("name")).join(per, "event_id", "left").groupBy("name").agg(F.sum(1 + F.coalesce("w", F.lit(0.0))).alias("w"))
-    return n.join(F.broadcast(n.agg(F.sum("w").alias("all")))).select("name", (F.col("w") / F.col("all")).alias("share"))
+    told = lambda part: lambda x: F.struct(F.lit(part).alias("part"), x.alias("name"))
+    names = F.concat(*[F.transform(F.array_compact(a), told(p)) for p, a in parts.items()])
+    e = events.select("event_id", names.alias("names")).join(per, "event_id", "left")
+    return e.select("event_id", (1 + F.coalesce("w", F.lit(0.0))).alias("w"), F.inline("names"))
+
+
+def shares(events: DataFrame, parts: dict[str, Column], interactions: DataFrame) -> DataFrame:
+    """(part, name, share): what part of all events and weighted interactions each name of each array has. A part's sum
+    over its names is one row a part, so it is broadcast."""
+    n = _named(events, parts, interactions).groupBy("part", "name").agg(F.sum("w").alias("w"))
+    return n.join(F.broadcast(n.groupBy("part").agg(F.sum("w").alias("all"))), "part").select("part", "name", (F.col("w") / F.col("all")).alias("share"))
 
 
 def popularity(events: DataFrame, interactions: DataFrame) -> DataFrame:
     """events with `popular`: a quarter of the sum of its genres' mean share, its artists' mean share, its venue's share
-    and its own popularity. events: event_id, genres, artists, venue_name, popularity."""
-    out = events
-    for part, names in (("genre", F.col("genres")), ("artist", F.col("artists")), ("venue", F.array("venue_name"))):
-        keyed = events.select("event_id", F.array_compact(names).alias("names"))
-        s = shares(keyed, "names", interactions)
-        mean = keyed.select("event_id", F.explode("names").alias("name")).join(s, "name").groupBy("event_id").agg(F.avg("share").alias(f"_{part}"))
-        out = out.join(mean, "event_id", "left")
-    parts = [F.coalesce(c, F.lit(0.0)) for c in ("_genre", "_artist", "_venue", "popularity")]
-    return out.withColumn("popular", reduce(lambda a, b: a + b, parts) / 4).drop("_genre", "_artist", "_venue")
+    and its own popularity. events: event_id, genres, artists, venue_name, popularity. The names of all three parts are
+    exploded once, summed once, and their means joined once."""
+    parts = {"genre": F.col("genres"), "artist": F.col("artists"), "venue": F.array("venue_name")}
+    keyed = _named(events, parts, interactions).drop("w")
+    each = keyed.join(shares(events, parts, interactions), ["part", "name"])
+    mean = each.groupBy("event_id").agg(*[F.avg(F.when(F.col("part") == p, F.col("share"))).alias(f"_{p}") for p in parts])
+    found = [F.coalesce(c, F.lit(0.0)) for c in ("_genre", "_artist", "_venue", "popularity")]
+    out = events.join(mean, "event_id", "left")
+    return out.withColumn("popular", reduce(lambda a, b: a + b, found) / 4).drop("_genre", "_artist", "_venue")
 
 
 def wish_vector(events: DataFrame, genres: Column) -> DataFrame:
@@ -121,6 +131,24 @@ def content_features(title: Column, description: Column, genres: Column, artists
     return [size(title).alias("title_length"), size(description).alias("description_length"), (size(description) > 0).alias("has_description"), F.size(genres).alias("n_genres"), F.size(artists).alias("n_artists"), *flags, size(venue).alias("venue_length"), famous.alias("is_famous")]
 
 
-def z_score(x: Column, mean: float, deviation: float) -> Column:
+def z_score(x: Column, mean: Column | float, deviation: Column | float) -> Column:
     """Standard score; 0 without a deviation."""
-    return (x - mean) / deviation if deviation else F.lit(0.0)
+    mean, deviation = (v if isinstance(v, Column) else F.lit(v) for v in (mean, deviation))
+    return F.when(F.coalesce(deviation, F.lit(0.0)) == 0, 0.0).otherwise((x - mean) / deviation)
+
+
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with z_<name> for each column: its standard score by the mean and the deviation of all rows (not of a sample).
+    Both are one row, aggregated before it is joined. A null stays null, and a column of one value gives 0."""
+    stats = df.agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("d", F.stddev_pop))])
+    z = {f"z_{c}": F.when(F.col(c).isNotNull(), z_score(F.col(c), F.col(f"_m_{c}"), F.col(f"_d_{c}"))) for c in columns}
+    return df.join(F.broadcast(stats)).withColumns(z).drop(*stats.columns)
+
+
+def preference_features(genres: Column, artists: Column, low: Column, high: Column, hours: Column, days: Column) -> list[Column]:
+    """How much a user says of their wishes: numbers of genres, artists, hours and weekdays (Monday 0), the budget, and
+    whether evenings (from 18) or weekends are among them. Null lists are empty; a missing budget is 0 to 1000."""
+    n = lambda a: F.coalesce(F.size(a), F.lit(0)).cast("long")
+    a, b = F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(1000.0))
+    some = lambda x, f: F.coalesce(F.exists(x, f), F.lit(False))
+    return [n(genres).alias("n_genres"), n(artists).alias("n_artists"), (n(genres) > 0).alias("has_genres"), (n(artists) > 0).alias("has_artists"), a.alias("budget_min"), b.alias("budget_max"), (b - a).alias("budget_range"), (b < 300).alias("is_budget_conscious"), n(hours).alias("n_hours"), n(days).alias("n_days"), some(hours, lambda h: h >= 18).alias("prefers_evenings"), some(days, lambda d: d.isin(5, 6)).alias("prefers_weekends")]

@@ -109,26 +109,40 @@ def transitions(df: DataFrame, user: str, order: list, item: str) -> DataFrame:
     return df.withColumn("target", nxt).where("target is not null").groupBy(F.col(item).alias("source"), "target").agg(F.count("*").alias("n"))
 
 
+def _paired(vectors: DataFrame, query: DataFrame, most_broadcast: int, vector_blocks: int) -> DataFrame:
+    """Every vector (vec_id, embedding) beside every query (query_id, q). Up to most_broadcast queries are broadcast; more
+    are dealt into blocks of about that many, and every block meets every one of vector_blocks parts of the vectors by an
+    ordinary join, so that a task holds one part of each."""
+    blocks = -(-query.count() // most_broadcast)
+    if blocks <= 1:
+        return vectors.join(F.broadcast(query))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = query.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("v_block", each(vector_blocks))
+    v = vectors.withColumn("v_block", F.pmod(F.xxhash64("vec_id"), F.lit(vector_blocks)).cast("int")).withColumn("q_block", each(blocks))
+    return v.join(q, ["q_block", "v_block"])
+
+
 def nearest(vectors: DataFrame, query: DataFrame, k: int, most_broadcast: int = 20_000, vector_blocks: int = 64) -> DataFrame:
     """(query_id, vec_id, score) of the k most similar vectors of each query by cosine.
 
-    The queries are a stated set. Up to most_broadcast of them are broadcast; more are dealt into blocks of about that
-    many, and every block meets every one of vector_blocks parts of the vectors by an ordinary join, so that a task
-    holds one part of each. Every task keeps its own k best before the last shuffle.
+    The queries are a stated set that meets all vectors in blocks. Every task keeps its own k best before the last
+    shuffle.
     """
     q = query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    v, blocks = vectors.select("vec_id", "embedding"), -(-q.count() // most_broadcast)
-    if blocks <= 1:
-        pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        q = q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("v_block", each(vector_blocks))
-        v = v.withColumn("v_block", F.pmod(F.xxhash64("vec_id"), F.lit(vector_blocks)).cast("int")).withColumn("q_block", each(blocks))
-        pairs = v.join(q, ["q_block", "v_block"]).where("vec_id <> query_id")
+    pairs = _paired(vectors.select("vec_id", "embedding"), q, most_broadcast, vector_blocks).where("vec_id <> query_id")
     s = pairs.select("query_id", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return top(s, "score", k, "vec_id", ["query_id"])
 
 
+def assigned(vectors: DataFrame, prototypes: DataFrame, most_broadcast: int = 20_000, vector_blocks: int = 64) -> DataFrame:
+    """(vec_id, query_id, score): the prototype (vec_id, embedding) most like each vector by cosine, the lowest id of
+    equal ones. Any number of prototypes meets the vectors in blocks, and tasks keep one best prototype a vector."""
+    q = prototypes.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    s = _paired(vectors.select("vec_id", "embedding"), q, most_broadcast, vector_blocks).select("vec_id", F.struct(S.cosine(F.col("embedding"), F.col("q")).alias("score"), (-F.col("query_id")).alias("id")).alias("b"))
+    best = s.groupBy("vec_id").agg(F.max("b").alias("b"))
+    return best.select("vec_id", (-F.col("b.id")).alias("query_id"), F.col("b.score").alias("score"))
+
+
 def tf_idf(docs: DataFrame, least_df: int = 2, most_share: float = 0.95, most_terms: int | None = None) -> DataFrame:
     """(id, term, weight) of docs (id, terms): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1.
 

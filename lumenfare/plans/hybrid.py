@@ -15,7 +15,7 @@ LIKED = ["small", "ring"]
 LAT, LON, HOURS, DAYS, BUDGET = 55.68, 12.55, [20, 21, 22], [4, 5, 6], (1000.0, 1200.0)
 
 #: Events with up to two artists of forty by rule, their venue, and one of the vectors.
-_E = "ev AS (SELECT c.*, list_transform(range(0,(event_id%3)::bigint), lambda i: 'Artist ' || ((event_id*7+i*11)%40)) AS artists, name AS venue_name, neighborhood, lat, lon, embedding::double[] AS embedding FROM catalog c JOIN venues USING (venue_id) JOIN embeddings ON vec_id=event_id%(SELECT count(*) FROM embeddings))"
+_E = "ev AS MATERIALIZED (SELECT c.*, list_transform(range(0,(event_id%3)::bigint), lambda i: 'Artist ' || ((event_id*7+i*11)%40)) AS artists, name AS venue_name, neighborhood, lat, lon, embedding::double[] AS embedding FROM catalog c JOIN venues USING (venue_id) JOIN embeddings ON vec_id=event_id%(SELECT count(*) FROM embeddings))"
 
 
 def events(spark, d):
@@ -26,33 +26,29 @@ def events(spark, d):
     return e.join(F.broadcast(v.agg(F.count("*").alias("n_vectors")))).withColumn("vec_id", k % F.col("n_vectors")).join(v, "vec_id")
 
 
-_PER = "per AS (SELECT event_id, sum(CASE kind WHEN 'like' THEN 1.0 WHEN 'going' THEN 2.0 WHEN 'went' THEN 1.5 WHEN 'save' THEN 0.5 ELSE 0.0 END)::double AS w FROM interactions GROUP BY event_id)"
+_PER = "per AS MATERIALIZED (SELECT event_id, sum(CASE kind WHEN 'like' THEN 1.0 WHEN 'going' THEN 2.0 WHEN 'went' THEN 1.5 WHEN 'save' THEN 0.5 ELSE 0.0 END)::double AS w FROM interactions GROUP BY event_id)"
 
 
 def _shares(part: str, names: str) -> str:
-    return f"k_{part} AS (SELECT event_id, unnest({names}) AS name FROM ev), s_{part} AS (SELECT name, w/sum(w) OVER () AS share FROM (SELECT name, sum(1+COALESCE(w,0)) AS w FROM k_{part} LEFT JOIN per USING (event_id) GROUP BY name)), m_{part} AS (SELECT event_id, avg(share) AS share FROM k_{part} JOIN s_{part} USING (name) GROUP BY event_id)"
+    return f"k_{part} AS MATERIALIZED (SELECT event_id, unnest({names}) AS name FROM ev), s_{part} AS MATERIALIZED (SELECT name, w/sum(w) OVER () AS share FROM (SELECT name, sum(1+COALESCE(w,0)) AS w FROM k_{part} LEFT JOIN per USING (event_id) GROUP BY name)), m_{part} AS MATERIALIZED (SELECT event_id, avg(share) AS share FROM k_{part} JOIN s_{part} USING (name) GROUP BY event_id)"
 
 
-_POP = f"{_E}, {_PER}, {_shares('genre', 'genres')}, {_shares('artist', 'artists')}, {_shares('venue', '[venue_name]')}, pop AS (SELECT event_id, (COALESCE(g.share,0)+COALESCE(a.share,0)+COALESCE(v.share,0)+popularity)/4 AS popular FROM ev LEFT JOIN m_genre g USING (event_id) LEFT JOIN m_artist a USING (event_id) LEFT JOIN m_venue v USING (event_id))"
+_POP = f"{_E}, {_PER}, {_shares('genre', 'genres')}, {_shares('artist', 'artists')}, {_shares('venue', '[venue_name]')}, pop AS MATERIALIZED (SELECT event_id, (COALESCE(g.share,0)+COALESCE(a.share,0)+COALESCE(v.share,0)+popularity)/4 AS popular FROM ev LEFT JOIN m_genre g USING (event_id) LEFT JOIN m_artist a USING (event_id) LEFT JOIN m_venue v USING (event_id))"
 _TABLES = ("catalog", "venues", "interactions")
 
 
 @query(sql(f", {_POP} SELECT 'genre' AS part, name, round(share,9) AS share FROM s_genre UNION ALL SELECT 'artist', name, round(share,9) FROM s_artist UNION ALL SELECT 'venue', name, round(share,9) FROM s_venue", *_TABLES))
 def popularity_shares(spark, d):
-    e, i = events(spark, d).withColumn("venues", F.array("venue_name")), interactions(spark, d)
-    out = None
-    for part, names in (("genre", "genres"), ("artist", "artists"), ("venue", "venues")):
-        s = H.shares(e, names, i).select(F.lit(part).alias("part"), "name", F.round("share", 9).alias("share"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    parts = {"genre": F.col("genres"), "artist": F.col("artists"), "venue": F.array("venue_name")}
+    return H.shares(events(spark, d), parts, interactions(spark, d)).withColumn("share", F.round("share", 9))
 
 
-_WISH = f"wish AS (SELECT list(m ORDER BY i) AS p FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM ev WHERE len(list_intersect(genres,{LIKED}))>0) GROUP BY i))"
+_WISH = f"wish AS MATERIALIZED (SELECT list(m ORDER BY i) AS p FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM ev WHERE len(list_intersect(genres,{LIKED}))>0) GROUP BY i))"
 _RING = f"greatest(abs(floor(lat/0.01::double)-floor({LAT}::double/0.01::double)),abs(floor(lon/0.01::double)-floor({LON}::double/0.01::double)))"
 _SUM = "(COALESCE(price_min,0)+COALESCE(price_max,0))"
 _HOUR, _DAY = sum(HOURS) / len(HOURS) / 23, sum(DAYS) / len(DAYS) / 6
 _SIM = f"greatest(0.0,least(1.0,0.6::double*list_cosine_similarity(embedding,p)+0.2::double*len(list_intersect(list_distinct(genres),{LIKED}))/len(list_distinct(list_concat(genres,{LIKED})))::double+0.1::double*CASE {_RING} WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.5 ELSE 0.0 END+0.05::double*CASE WHEN {_SUM}>0 THEN exp(-2*abs({_SUM}-2200.0)/greatest({_SUM},2200.0)) ELSE 0.0 END+0.05::double*(1-least(abs(hour(date_time)/23.0::double-{_HOUR}::double),1-abs(hour(date_time)/23.0::double-{_HOUR}::double))+1-abs((isodow(date_time)-1)/6.0::double-{_DAY}::double))/2))"
-_CONTENT = f"{_POP}, {_WISH}, con AS (SELECT event_id, 0.8::double*({_SIM})+0.2::double*popular AS content FROM ev JOIN pop USING (event_id), wish)"
+_CONTENT = f"{_POP}, {_WISH}, con AS MATERIALIZED (SELECT event_id, 0.8::double*({_SIM})+0.2::double*popular AS content FROM ev JOIN pop USING (event_id), wish)"
 
 
 def _content(spark, d):
@@ -68,6 +64,16 @@ def content_recommend(spark, d):
     return _content(spark, d).select("event_id", F.round("content", 5).alias("score"))
 
 
+@query(sql(f", {_CONTENT}, c AS MATERIALIZED (SELECT event_id, genres, round(content,5) AS score FROM con JOIN ev USING (event_id) ORDER BY score DESC, event_id LIMIT 100), p AS (SELECT b.event_id, sum(len(list_intersect(a.genres,b.genres))/len(list_distinct(list_concat(a.genres,b.genres)))::double) AS j FROM c a JOIN c b ON a.score>b.score OR (a.score=b.score AND a.event_id<b.event_id) GROUP BY b.event_id), s AS (SELECT event_id, round(greatest(0,least(1,score-0.1::double*COALESCE(j,0))),5)::double AS score FROM c LEFT JOIN p USING (event_id)) SELECT event_id, score, row_number() OVER (ORDER BY score DESC, event_id) AS rank FROM s QUALIFY rank<=20", *_TABLES))
+def content_ranked(spark, d):
+    """The content recommender to its end: the hundred best by content, each less a tenth of its likeness to better ones,
+    and the best twenty of these."""
+    c = _content(spark, d).select("event_id", "genres", F.round("content", 5).alias("score"))
+    c = R.top(c, "score", 100, "event_id").drop("rank")
+    s = R.diversity_penalty(c, 0.1).select("event_id", F.round("score", 5).alias("score"))
+    return R.top(s, "score", 20, "event_id").withColumn("rank", F.col("rank").cast("long"))
+
+
 _KM = f"2*6371.0::double*asin(sqrt(least(1.0,pow(sin(radians(lat-{LAT}::double)/2),2)+cos(radians({LAT}::double))*cos(radians(lat))*pow(sin(radians(lon-{LON}::double)/2),2))))"
 _DAYS = f"floor((epoch_us(date_time)-epoch_us({NOW}))/86400000000.0)"
 _ROW = f"coll AS (SELECT b.event_id, count(*)/max(count(*)) OVER ()::double AS collaborative FROM interactions a JOIN interactions b ON a.user_id=8 AND a.kind='like' AND b.user_id=a.user_id AND b.kind='save' GROUP BY b.event_id), ft AS (SELECT event_id, content, COALESCE(collaborative,0)::double AS collaborative, {_KM} AS distance_km, CASE WHEN COALESCE(price_min,0)=0 THEN 1.0 WHEN least(price_max,1200.0)-greatest(price_min,1000.0)<0 THEN 0.0 ELSE least(1.0,(least(price_max,1200.0)-greatest(price_min,1000.0))/least(price_max-price_min,200.0)) END::double AS price, CASE WHEN {_DAYS}<0 THEN 0.0 WHEN {_DAYS}<=7 THEN 1.0 WHEN {_DAYS}<=30 THEN 0.8 WHEN {_DAYS}<=90 THEN 0.6 ELSE 0.3 END::double AS recency, popularity, 1/(1+count(*) OVER (PARTITION BY venue_id)*0.1::double) AS diversity, greatest(0.0,1-least(abs(20-hour(date_time)),abs(21-hour(date_time)),abs(22-hour(date_time)))/12.0::double)*0.5::double + CASE WHEN isodow(date_time)-1 IN (4,5,6) THEN 0.5 ELSE 0.0 END::double AS time_match FROM ev JOIN con USING (event_id) LEFT JOIN coll USING (event_id))"
@@ -96,7 +102,7 @@ def hybrid_recommend(spark, d):
     return R.top(s, "score", 50, "event_id").withColumn("rank", F.col("rank").cast("long"))
 
 
-_CHOSEN = "ch AS (SELECT list_distinct(flatten(list(genres))) AS g, list_distinct(flatten(list(artists))) AS a, list(DISTINCT lower(venue_name)) AS v FROM (SELECT * FROM ev ORDER BY popularity DESC, event_id LIMIT 10))"
+_CHOSEN = "ch AS MATERIALIZED (SELECT list_distinct(flatten(list(genres))) AS g, list_distinct(flatten(list(artists))) AS a, list(DISTINCT lower(venue_name)) AS v FROM (SELECT * FROM ev ORDER BY popularity DESC, event_id LIMIT 10))"
 
 
 @query(sql(f", {_E}, {_CHOSEN}, x AS (SELECT event_id, 1-len(list_intersect(list_distinct(genres),g))/len(g)::double AS gd, CASE WHEN list_contains(v,lower(venue_name)) THEN 0.0 ELSE 1.0 END::double AS vd, 1-len(list_intersect(list_distinct(artists),a))/len(a)::double AS ad FROM ev, ch) SELECT event_id, round(gd,6) AS genre_diversity, vd AS venue_diversity, round(ad,6) AS artist_diversity, round((gd+vd+ad)/3,6) AS diversity FROM x", "catalog", "venues"))

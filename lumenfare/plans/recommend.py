@@ -41,10 +41,9 @@ def nearest_prototype(spark, d):
     v = read(spark, d, "embeddings")
     m = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     p = m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"))
-    few = p.count() <= 1000
-    s = v.select("vec_id", "embedding").join(F.broadcast(p) if few else p).withColumn("s", S.cosine(F.col("embedding"), F.col("p")))
-    best = s.groupBy("vec_id").agg(F.max(F.struct("s", -F.col("label"))).alias("b"))
-    return best.select("vec_id", (-F.col("b.col2")).alias("label"), F.round("b.s", 5).alias("score"))
+    p = p.select(F.col("label").alias("vec_id"), F.col("p").alias("embedding"))
+    best = R.assigned(v.select("vec_id", "embedding"), p)
+    return best.select("vec_id", F.col("query_id").alias("label"), F.round("score", 5).alias("score"))
 
 
 @query(sql("WITH o AS (SELECT * FROM catalog JOIN venues USING (venue_id) WHERE event_id=42), s AS (SELECT c.event_id, 0.5::double*len(list_intersect(c.genres,o.genres))/greatest(len(list_distinct(c.genres)),len(o.genres)) + CASE WHEN c.venue_id=o.venue_id THEN 0.3 ELSE 0 END::double + CASE WHEN v.neighborhood=o.neighborhood THEN 0.2 ELSE 0 END::double AS score FROM catalog c JOIN venues v USING (venue_id), o WHERE c.event_id<>42) SELECT event_id, round(score,6) AS score, row_number() OVER (ORDER BY round(score,6) DESC, event_id) AS rank FROM s WHERE score>0 QUALIFY rank<=20", "catalog", "venues"))
