@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 from lumenfare.functions.text import clean, hashtags, mentions, times, titled, venue_name
 
-# Genres that a text may name anywhere, and that announcements are searched for.
-GENRES = "techno house electronic edm trance dubstep dnb ambient downtempo minimal electro hardcore rock pop jazz blues classical folk country punk metal indie alternative acoustic rap r&b soul funk reggae ska disco latin world experimental singer-songwriter".split() + ["drum and bass", "deep house", "tech house", "progressive house", "hip hop"]
+# Genres that a text may name anywhere.
+GENRES = [
+    "techno", "house", "electronic", "edm", "trance", "dubstep", "dnb", "drum and bass", "ambient", "downtempo", "minimal", "electro", "deep house", "tech house", "progressive house", "hardcore",
+    "rock", "pop", "jazz", "blues", "classical", "folk", "country", "punk", "metal", "indie", "alternative", "acoustic",
+    "hip hop", "rap", "r&b", "soul", "funk", "reggae", "ska",
+    "disco", "latin", "world", "experimental", "singer-songwriter",
+]
+# Genres that a post and its hashtags are searched for.
+POST_GENRES = [
+    "techno", "house", "deep house", "tech house", "progressive house", "electronic", "edm", "trance", "dubstep", "drum and bass", "dnb", "ambient", "downtempo", "chillout", "minimal", "electro",
+    "rock", "pop", "jazz", "blues", "classical", "folk", "country", "punk", "metal", "hardcore", "indie", "alternative",
+    "hip hop", "rap", "r&b", "soul", "funk", "reggae", "ska",
+    "disco", "latin", "world", "experimental", "acoustic",
+]
 # Words that are no artist's name.
 NO_ARTISTS = ["Live", "Music", "Concert", "Event", "Party", "Tonight", "Tomorrow", "Friday", "Saturday", "Sunday", "Copenhagen", "Denmark", "Danish", "Fredag", "Lørdag", "Søndag", "København", "Danmark"]
 # Categories by the words that a text holds anywhere; the first category with a word wins.
@@ -27,7 +39,10 @@ QUARTERS = {"Rust": "Nørrebro", "Pumpehuset": "Indre By", "Loppen": "Christiani
 VENUE_STANDING = {"Store Vega": 1.0, "Lille Vega": 0.9, "Jazzhus Montmartre": 0.95, "Culture Box": 0.85, "Noma": 1.0}
 SOURCE_STANDING = {"visit_copenhagen": 1.0, "jazzhus_montmartre": 0.95, "store_vega": 0.95, "lille_vega": 0.95, "culture_box": 0.9, "noma_popup": 1.0, "golden_days": 0.9, "craft_beer_cph": 0.85, "nordic_techkomm": 0.8}
 
-_NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+# A name is a run of capitalised words; where case does not count, of any words of two letters or more. Runs
+# never give words back, so that the longest text needs no deep stack.
+_NAME = r"[A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)*+"
+_ANY_NAME = r"[A-Za-z]{2,}(?:\s+[A-Za-z]{2,})*+"
 
 
 def looked_up(key: Column, table: dict, default) -> Column:
@@ -83,8 +98,12 @@ def capitalised(text: Column) -> Column:
 
 
 def artists_in(text: Column, most: int = 5) -> Column:
-    """Names after `featuring` or `with` and before `live` or `concert`, in that order, without words that are no names."""
-    hits = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in (rf"featuring\s+({_NAME})", rf"with\s+({_NAME})", rf"({_NAME})\s+live", rf"({_NAME})\s+concert")])
+    """Names after `featuring` or `with` and before `live` or `concert`, in that order, without words that are no names.
+    As case does not count, a name goes on over all words up to the next mark."""
+    after = [F.regexp_extract_all(text, F.lit(rf"(?i){w}\s+({_ANY_NAME})"), 1) for w in ("featuring", "with")]
+    runs = F.regexp_extract_all(text, F.lit(_ANY_NAME), 0)
+    upto = lambda w: lambda run: F.regexp_extract(run, rf"(?is)^(.*\S)\s+{w}", 1)
+    hits = F.concat(*after, *[F.transform(runs, upto(w)) for w in ("live", "concert")])
     kept = F.filter(F.transform(hits, lambda x: F.trim(x)), lambda x: (F.length(x) > 2) & ~x.isin(NO_ARTISTS))
     return F.slice(F.array_distinct(kept), 1, most)
 
@@ -95,6 +114,12 @@ def genres_in(text: Column, genres: list[str] = GENRES) -> Column:
     return F.array_sort(F.filter(F.array(*map(F.lit, genres)), lambda g: F.contains(low, g)))
 
 
+def post_genres(text: Column, tags: Column) -> Column:
+    """Genres that a post or one of its hashtags holds anywhere, in the list's order; a null text or list is empty."""
+    low = F.lower(F.concat_ws(" ", F.coalesce(text, F.lit("")), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
+    return F.filter(F.array(*map(F.lit, POST_GENRES)), lambda g: F.contains(low, g))
+
+
 def post(text: Column) -> Column:
     """What a social post holds, as a struct; null for an empty one."""
     t = clean(text)

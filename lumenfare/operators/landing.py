@@ -80,6 +80,16 @@ def one_a_day(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     return keep_first(new.withColumn("day", F.to_date("date_time")).join(taken, ["venue_id", "day"], "left_anti"), ["venue_id", "day"], [order])
 
 
+def artist_links(stored: DataFrame, artists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, artists) of stored events (event_id, artists) and known artists (artist_id, name): a link (event_id,
+    artist_id) for each different name of an event, and the known artists with the new ones, which take their name's
+    hash as id. Names are compared as they are; null and empty ones link nothing."""
+    named = stored.select("event_id", F.explode("artists").alias("name")).where("name <> ''").distinct()
+    new = named.select("name").distinct().join(artists, "name", "left_anti").select(F.sha2("name", 256).alias("artist_id"), "name")
+    every = artists.select(F.col("artist_id").cast("string").alias("artist_id"), "name").unionByName(new)
+    return named.join(every, "name").select("event_id", "artist_id"), every
+
+
 def logged(tracked: DataFrame, kind: str = "recommendation_request") -> DataFrame:
     """The rows that a log of requests keeps of all tracked events, with their data as JSON text; for foreachBatch or a batch append."""
     return tracked.where(F.col("event_type") == kind)

@@ -57,6 +57,13 @@ def diversity_penalty(candidates: DataFrame, factor: float = 0.1) -> DataFrame:
     return candidates.join(lost, "event_id", "left").withColumn("score", S.clip(F.col("score") - F.coalesce("lost", F.lit(0.0)))).drop("lost")
 
 
+def popularity_fallback(events: DataFrame, seed: int = 0, spread: float = 0.1) -> DataFrame:
+    """(event_id, score): popularity with a noise of up to `spread` either way, within 0 and 1. The noise is a rule of
+    event_id and seed in steps of a thousandth of it, so that reruns and repeated rows agree; a null popularity is 0."""
+    step = F.pmod(F.pmod(F.col("event_id"), F.lit(1_000_003)) * 7919 + seed * 104_729, F.lit(2001)) - 1000
+    return events.select("event_id", S.clip(F.coalesce("popularity", F.lit(0.0)) + step / 1000.0 * spread).alias("score"))
+
+
 def anchored_windows(df: DataFrame, user: str, at: str, hours: int = 24) -> DataFrame:
     """df with win, the start of its window: a user's window opens at the first row that is later than `hours` after
     the last window's opening. Ties in time stand in order of `id`."""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenfare.functions import dates
 from lumenfare.functions import scores as S
+from lumenfare.operators import hybrid as H
+from lumenfare.operators import recommend as R
 from lumenfare.plans.query import query
 from lumenfare.sources.tables import as_of, catalog, interactions, sql
 
@@ -64,3 +66,41 @@ def normalized_features(spark, d):
 def mlp_scores(spark, d):
     layers = [([[1.0], [-1.0]], [-0.2, 1.0]), ([[0.5, -0.25]], [0.1])]
     return catalog(spark, d).select("event_id", F.round(S.mlp(F.array("popularity"), layers), 6).alias("score"))
+
+
+@query(sql(", l AS (SELECT user_id, c.* FROM interactions i JOIN catalog c USING (event_id) WHERE kind='like'), p AS (SELECT user_id, len(list_distinct(flatten(list(genres)))) AS g, min(price_min) AS lo, max(price_max) AS hi, list(DISTINCT hour(date_time)) AS h, list(DISTINCT isodow(date_time)-1) AS w, count(DISTINCT source) AS a FROM l GROUP BY user_id) SELECT user_id, COALESCE(g,0) AS n_genres, COALESCE(a,0) AS n_artists, COALESCE(g,0)>0 AS has_genres, COALESCE(a,0)>0 AS has_artists, COALESCE(lo,0)::double AS budget_min, COALESCE(hi,1000)::double AS budget_max, COALESCE(hi,1000)::double-COALESCE(lo,0)::double AS budget_range, COALESCE(hi,1000)<300 AS is_budget_conscious, COALESCE(len(h),0) AS n_hours, COALESCE(len(w),0) AS n_days, COALESCE(len(list_filter(h, lambda x: x>=18))>0,false) AS prefers_evenings, COALESCE(len(list_filter(w, lambda x: x IN (5,6)))>0,false) AS prefers_weekends FROM (SELECT DISTINCT user_id FROM interactions) LEFT JOIN p USING (user_id)", "catalog", "interactions"))
+def user_preference_features(spark, d):
+    """What every user's likes say of their wishes: genres, sources in place of artists, prices, hours and weekdays. Each
+    kind of wish is made distinct before it is gathered, so a user's array has at most as many places as there are
+    genres, sources, hours or weekdays."""
+    i = interactions(spark, d)
+    liked = i.where("kind = 'like'").select("user_id", "event_id").distinct().join(catalog(spark, d), "event_id")
+    sets = liked.groupBy("user_id").agg(F.collect_set("source").alias("sources"), F.min("price_min").alias("low"), F.max("price_max").alias("high"), F.collect_set(F.hour("date_time")).alias("hours"), F.collect_set(F.weekday("date_time")).alias("days"))
+    genres = liked.select("user_id", F.explode("genres").alias("g")).groupBy("user_id").agg(F.collect_set("g").alias("genres"))
+    u = i.select("user_id").distinct().join(sets, "user_id", "left").join(genres, "user_id", "left")
+    return u.select("user_id", *H.preference_features(F.col("genres"), F.col("sources"), F.col("low"), F.col("high"), F.col("hours"), F.col("days")))
+
+
+@query(sql(", n AS (SELECT event_id, count(*) AS n FROM interactions GROUP BY event_id), e AS (SELECT c.event_id, popularity, price_min, COALESCE(n,0)::double AS seen FROM catalog c LEFT JOIN n USING (event_id)) SELECT event_id, " + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN COALESCE(({c}-avg({c}) OVER ())/NULLIF(stddev_pop({c}) OVER (),0),0) END,6)+0.0 AS z_{c}" for c in ("popularity", "price_min", "seen")) + " FROM e", "catalog", "interactions"))
+def standard_scores(spark, d):
+    """Popularity, price and interactions of every event as standard scores over the whole catalogue."""
+    n = interactions(spark, d).groupBy("event_id").agg(F.count("*").cast("double").alias("seen"))
+    e = catalog(spark, d).join(n, "event_id", "left").select("event_id", "popularity", "price_min", F.coalesce("seen", F.lit(0.0)).alias("seen"))
+    names = ["popularity", "price_min", "seen"]
+    return H.standardised(e, names).select("event_id", *[(F.round(f"z_{c}", 6) + F.lit(0.0)).alias(f"z_{c}") for c in names])
+
+
+@query(sql("SELECT c.event_id, round(ln(greatest(1,count(i.id))),6) AS views_log, round(ln(greatest(1,count(CASE WHEN kind='like' THEN 1 END))),6) AS likes_log, round(ln(greatest(1,count(CASE WHEN kind='going' THEN 1 END))),6) AS going_log, round(count(CASE WHEN kind='like' THEN 1 END)/greatest(1,count(i.id))::double,6) AS like_rate, round(count(CASE WHEN kind='going' THEN 1 END)/greatest(1,count(i.id))::double,6) AS going_rate, round(count(CASE WHEN kind IN ('like','going') THEN 1 END)/greatest(1,count(i.id))::double,6) AS engagement_rate FROM catalog c LEFT JOIN interactions i ON i.event_id=c.event_id GROUP BY c.event_id", "catalog", "interactions"))
+def engagement_features(spark, d):
+    """Logarithms of an event's interactions, likes and goings, and their rates; events without any have zeros."""
+    has = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    n = interactions(spark, d).groupBy("event_id").agg(F.count("*").alias("n"), has("like").alias("likes"), has("going").alias("going"))
+    e = catalog(spark, d).select("event_id").join(n, "event_id", "left").fillna(0)
+    log = lambda c: F.round(F.log(F.greatest(F.lit(1), F.col(c)).cast("double")), 6)
+    rate = lambda c: F.round(c / F.greatest(F.lit(1), F.col("n")), 6)
+    return e.select("event_id", log("n").alias("views_log"), log("likes").alias("likes_log"), log("going").alias("going_log"), rate(F.col("likes")).alias("like_rate"), rate(F.col("going")).alias("going_rate"), rate(F.col("likes") + F.col("going")).alias("engagement_rate"))
+
+
+@query(sql("SELECT event_id, round(greatest(0.0,least(1.0,popularity+(((event_id%1000003)*7919+7*104729)%2001-1000)/1000.0::double*0.1::double)),6)::double AS score FROM catalog", "catalog"))
+def popularity_fallback(spark, d):
+    return R.popularity_fallback(catalog(spark, d), seed=7).withColumn("score", F.round("score", 6))

@@ -6,6 +6,7 @@ from lumenfare.functions import dates
 from lumenfare.functions import extract as E
 from lumenfare.operators import catalog as C
 from lumenfare.operators import hybrid as H
+from lumenfare.operators import landing as L
 from lumenfare.operators import recommend as R
 from lumenfare.plans.query import query
 from lumenfare.sources.tables import as_of, catalog, interactions, read, sql, venues
@@ -160,3 +161,15 @@ def match_percent_of_user(spark, d):
     timing = F.when(days < 1, 1.0).when(days <= 7, 0.9).when(days <= 30, 0.8).otherwise(0.6)
     history = F.when(F.col("liked") == 1, 1.0).when(F.col("disliked") == 1, 0.1).otherwise(0.8)
     return e.select("event_id", history.alias("history"), F.round(100 * (0.3 * venue + 0.2 * price + 0.15 * timing + 0.2 * history + 0.15 * standing)).cast("long").alias("match_percent"))
+
+
+@query(sql(f", {_E}, old AS (SELECT * FROM ev WHERE event_id%2=0), known AS (SELECT name, row_number() OVER (ORDER BY name) AS n FROM (SELECT DISTINCT unnest(artists) AS name FROM old WHERE event_id%4=0)), new AS (SELECT * FROM ev WHERE event_id%2=1 AND (venue_id, date_time::date) NOT IN (SELECT (venue_id, date_time::date) FROM old WHERE status<>'cancelled') QUALIFY row_number() OVER (PARTITION BY venue_id, date_time::date ORDER BY event_id)=1) SELECT DISTINCT event_id, name, COALESCE('known ' || name, sha256(name)) AS artist_id FROM (SELECT event_id, unnest(artists) AS name FROM new) LEFT JOIN known USING (name)".replace("COALESCE('known ' || name, sha256(name))", "CASE WHEN n IS NULL THEN sha256(name) ELSE 'known ' || name END"), "catalog", "venues"))
+def stored_artist_links(spark, d):
+    """Odd events are stored after the even ones, one a venue and day, and linked with their artists; those of every
+    fourth event are known before."""
+    e = events(spark, d)
+    old = e.where("event_id % 2 = 0")
+    known = old.where("event_id % 4 = 0").select(F.explode("artists").alias("name")).distinct().select(F.concat(F.lit("known "), "name").alias("artist_id"), "name")
+    stored = L.one_a_day(e.where("event_id % 2 = 1"), old, "event_id")
+    links, artists = L.artist_links(stored, known)
+    return links.join(artists, "artist_id").select("event_id", "name", "artist_id")

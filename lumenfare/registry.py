@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfare.plans import catalog, collaborative, extras, features, hybrid, ingest, landing, notices, pages, pairwise, places, recommend, requests, streams, texts, training, vectors  # noqa: F401
+from lumenfare.plans import catalog, collaborative, documents, extras, features, hybrid, ingest, landing, notices, pages, pairwise, places, recommend, requests, streams, texts, training, vectors  # noqa: F401
 from lumenfare.plans.query import ORACLE, QUERIES, Query
 
 
