@@ -180,11 +180,6 @@ def _signatures(arrays: Broadcast, percent: int):
     return emit
 
 
-#: Bytes of each shingle's hash that a set travels with to be verified: in a pair of sets of a thousand shingles, one
-#: in 10**8 has a shingle too many in common.
-ITEM = 6
-
-
 def _sets(wanted):
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
@@ -192,24 +187,18 @@ def _sets(wanted):
         for pdf in frames:
             at = pdf.bucket.to_numpy(np.int64)
             pdf = pdf[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            items = [s.view(np.uint8).reshape(-1, 8)[:, :ITEM].tobytes() for s in shingle_sets(pdf.text.tolist())]
+            items = [s.tobytes() for s in shingle_sets(pdf.text.tolist())]
             yield pd.DataFrame({"cls": pdf.doc_id, "items": items})
 
     return emit
 
 
-def _unpacked(items: bytes) -> np.ndarray:
-    out = np.zeros((len(items) // ITEM, 8), np.uint8)
-    out[:, :ITEM] = np.frombuffer(items, np.uint8).reshape(-1, ITEM)
-    return out.view(np.uint64).ravel()
-
-
 def _overlap(percent: int):
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            x, y = _unpacked(x), _unpacked(y)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(x) + len(y) - len(np.union1d(x, y))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
