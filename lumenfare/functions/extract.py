@@ -45,6 +45,11 @@ _NAME = r"[A-Z][a-z]+\b(?:\s+[A-Z][a-z]+\b)*+"
 _ANY_NAME = r"[A-Za-z]{2,}(?:\s+[A-Za-z]{2,})*+"
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once a row. An array function's body would compute it again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def looked_up(key: Column, table: dict, default) -> Column:
     """The table's value for a key, or the default for others and null."""
     return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key], F.lit(default))
@@ -88,8 +93,8 @@ def priced(text: Column) -> Column:
 
 
 def category(text: Column, categories: dict[str, list[str]] = CATEGORIES, default: str = "cultural") -> Column:
-    low = F.lower(text)
-    return F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(c)) for c, words in categories.items()], F.lit(default))
+    has = lambda low, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return once(F.lower(text), lambda low: F.coalesce(*[F.when(has(low, words), F.lit(c)) for c, words in categories.items()], F.lit(default)))
 
 
 def capitalised(text: Column) -> Column:
@@ -110,14 +115,13 @@ def artists_in(text: Column, most: int = 5) -> Column:
 
 def genres_in(text: Column, genres: list[str] = GENRES) -> Column:
     """Genres that a text holds anywhere, within other words too, in order of the alphabet."""
-    low = F.lower(text)
-    return F.array_sort(F.filter(F.array(*map(F.lit, genres)), lambda g: F.contains(low, g)))
+    return F.array_sort(once(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, genres)), lambda g: F.contains(low, g))))
 
 
 def post_genres(text: Column, tags: Column) -> Column:
     """Genres that a post or one of its hashtags holds anywhere, in the list's order; a null text or list is empty."""
     low = F.lower(F.concat_ws(" ", F.coalesce(text, F.lit("")), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
-    return F.filter(F.array(*map(F.lit, POST_GENRES)), lambda g: F.contains(low, g))
+    return once(low, lambda t: F.filter(F.array(*map(F.lit, POST_GENRES)), lambda g: F.contains(t, g)))
 
 
 def post(text: Column) -> Column:

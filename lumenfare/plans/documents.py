@@ -39,7 +39,8 @@ def document_facts(spark, d):
     text is empty. Each fact is an expression over one row, so nothing is shuffled. Artists' names are of ASCII letters,
     and what follows one in another script belongs to its word."""
     t = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    x, plain = F.col("text"), F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    t = t.withColumn("plain", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
+    x, plain = F.col("text"), F.col("plain")
     return t.select("doc_id", E.category(x).alias("category"), F.array_join(E.genres_in(x), ",").alias("genres"), E.venue_in(x).alias("venue"), E.price_phrase(x).alias("price_phrase"), E.price_in_kroner(x).alias("price"), F.array_join(E.artists_in(plain), ",").alias("artists"), F.size(E.capitalised(plain)).cast("long").alias("n_names"))
 
 
