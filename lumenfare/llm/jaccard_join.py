@@ -12,8 +12,9 @@ Plan, in the order in which data move:
 3. Prefix rows meet by shingle. Each list first offers the pair (smallest class, member); the best such pair of each
    class is verified, and the links make components. This is linear in the rows.
 4. Only lists that still hold two components offer pairs, and only pairs across components that pass the length and
-   positional filters within the join, and the suffix filter (Hamming bound from counts of 16 hash ranges) after it.
-   A pair is verified once, against the whole sets.
+   positional filters within the join, and the suffix filter after it: a Hamming bound from the counts of about as many
+   hash classes as a set has shingles, of which the parities travel. No pair that links is lost to it, and hardly
+   another passes. A pair is verified once, against the whole sets.
 """
 
 from __future__ import annotations
@@ -42,8 +43,18 @@ FREQUENT = 1 << 17
 LEAST_DF = 8
 #: log2 of the bits in the bitmap of repeated fingerprints (32 MB), and the bits of a piece in which it comes together.
 BITMAP, PIECE = 28, 1 << 17
-#: log2 of the bits in the bitmap of classes that need verifying (1 MB).
-WANTED = 23
+#: log2 of the bits in the bitmap of classes that need verifying (8 MB, few of them set).
+WANTED = 26
+#: log2 of the hash classes whose parities a set keeps at most; a set has 64 at least, and as many as shingles.
+CLASSES = 17
+
+
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Parities of the counts of the set's hash classes (low bits of the hash), 64 to a long. Two sets' parities differ
+    in no more classes than there are shingles in one set only."""
+    bits = min(CLASSES, max(6, (len(s) - 1).bit_length()))
+    counts = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _counted(prints: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +183,8 @@ def _signatures(arrays: Broadcast, percent: int):
                 bit = fp[order] >> np.uint32(32 - BITMAP)
                 keep = (bitmap[bit >> np.uint32(3)] >> (bit & np.uint32(7)).astype(np.uint8)) & 1 == 1
                 sums = (int(s.sum(dtype=np.uint64)), int((s * (s | np.uint64(1))).sum(dtype=np.uint64)))
-                rows.append((doc_id, n, *(x - (x >> 63 << 64) for x in sums), np.bincount((s >> np.uint64(60)).astype(int), minlength=16).astype(np.int32), s[order[keep]].view(np.int64), np.flatnonzero(keep).astype(np.int32)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "hist", "ps", "pp"])
+                rows.append((doc_id, n, *(x - (x >> 63 << 64) for x in sums), _parities(s), s[order[keep]].view(np.int64), np.flatnonzero(keep).astype(np.int32)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "odd", "ps", "pp"])
             out["doc_id"] = out.doc_id.astype("Int64")
             yield out
 
@@ -206,6 +217,12 @@ def _overlap(percent: int):
     return linked
 
 
+def _folded(a: str, b: str) -> Column:
+    """The parities a, where there are more of them than of b put together to those of half as many classes."""
+    half = F.shiftright(F.size(a), 1)
+    return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
+
+
 def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
     """The smallest intersection with which sets of these sizes link."""
     return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
@@ -223,10 +240,10 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     spark = prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     arrays = share(spark, *_statistics(texts.select("text")))
-    marks = stored(texts.mapInPandas(_signatures(arrays, percent), "doc_id long, n int, h1 long, h2 long, hist array<int>, ps array<long>, pp array<int>"))
+    marks = stored(texts.mapInPandas(_signatures(arrays, percent), "doc_id long, n int, h1 long, h2 long, odd array<long>, ps array<long>, pp array<int>"))
     arrays.destroy()
     key = ["n", "h1", "h2"]
-    classes = stored(marks.where("n > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("cls"), F.first("hist").alias("hist"), F.first("ps").alias("ps"), F.first("pp").alias("pp")))
+    classes = stored(marks.where("n > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("cls"), F.first("odd").alias("odd"), F.first("ps").alias("ps"), F.first("pp").alias("pp")))
     if not classes.take(1):
         return marks.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
@@ -236,7 +253,7 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
     lists = posted.withColumns({"lead": lead, "last": F.max("cls").over(by)}).where("lead.cls < last")
     lists = stored(lists.select("shingle", "cls", "n", "pos", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")))
 
-    sizes = classes.select("cls", "n", "hist")
+    sizes = classes.select("cls", "n", "odd")
     linked = _overlap(percent)
     addressed = texts.where("doc_id is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED)))
 
@@ -248,8 +265,10 @@ def similar_documents(documents: DataFrame, percent: int = 80) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that pass the suffix filter and link; sets of b move twice, of a once."""
-        x = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
-        apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
+        x = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+        for _ in range(math.ceil(math.log2(100 / percent))):  # sizes that may link differ by so many doublings at most
+            x = x.withColumns({"oa": _folded("oa", "ob"), "ob": _folded("ob", "oa")})
+        apart = F.aggregate(F.zip_with("oa", "ob", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
         x = stored(x.where(apart <= F.col("na") + F.col("nb") - 2 * _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b"))
         (b, of_b), (a, of_a) = sets(x.select("b")), sets(x.select("a"))
         out = stored(x.join(b.toDF("b", "ib"), "b").join(a.toDF("a", "ia"), "a").where(linked("ia", "ib")).select("a", "b"))

@@ -89,6 +89,47 @@ def test_jaccard_join_of_chains(spark):
     assert sorted([tuple(r) for r in jaccard_join.similar_documents(df).collect()], key=str) == components(ids, texts)
 
 
+def test_sets_of_texts_that_cannot_link_do_not_move(spark, monkeypatch):
+    """Texts with two fifths in common meet in their prefixes, yet only the two near ones are held against each other."""
+    texts = []
+    for k in range(20):
+        texts += [" ".join([f"c{k}x{i}" for i in range(124)] + [f"{side}{k}x{i}" for i in range(180)]) for side in "lr"]
+    texts += [" ".join(f"n{i}" for i in range(304 - k)) for k in range(2)]
+    pairs, stored = [], jaccard_join.stored
+
+    def watched(df):
+        out = stored(df)
+        if out.columns == ["a", "b"]:  # candidates, then links, of both rounds
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted([tuple(r) for r in jaccard_join.similar_documents(df).collect()], key=str) == components(list(range(len(texts))), texts)
+    assert pairs == [1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("percent", [20, 80])
+def test_parities_never_differ_more_than_sets(percent):
+    """Whatever the sizes, and where one set's classes are folded to those of the other."""
+    rng = np.random.default_rng(5)
+    for n in (1, 63, 64, 65, 128, 129, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, n * percent // 100)], rng.integers(0, 1 << 64, n // 5, dtype=np.uint64)]))
+        x, y = (jaccard_join._parities(s) for s in (a, b))
+        while len(x) != len(y):
+            x, y = (v[: len(v) // 2] ^ v[len(v) // 2 :] if len(v) > len(w) else v for v, w in ((x, y), (y, x)))
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_links_of_small_shares_at_folded_sizes(spark):
+    """A low percentage links sets of which one has several times as many classes as the other."""
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (70, 150, 400, 1500)] + [" ".join(f"v{i}" for i in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted([tuple(r) for r in jaccard_join.similar_documents(df, 20).collect()], key=str)
+    assert got == components(list(range(len(texts))), texts, 20)
+
+
 def test_keep_one_keeps_columns(odd):
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns
