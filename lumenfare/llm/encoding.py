@@ -16,6 +16,8 @@ from lumenfare.llm.common import forget, kept
 #: Words remembered by one Python worker, and letters of such a word. Half of them are older: past the other half, the
 #: older ones are forgotten that were not asked for again.
 REMEMBERED, SHORT = 1 << 20, 64
+#: Marks that stand together behind a word as one pre-token, and how many of them are looked up together.
+MARKS, MOST_MARKS = ".,!?;:#$%&*", 8
 _ODD = ["\t", "\x00", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "  ", "\n\n", " \n", "\n ", "<|"]
 _ODD_WIDE = ["\x85", "\xa0", " ", "᠎", *map(chr, range(0x2000, 0x2010)), " ", " ", " ", " ", "　", "﻿"]
 
@@ -38,11 +40,18 @@ class _Words(dict):
         self.lead = prefix.translate(_LETTERS)
         self.older: dict[str, bytes] = {}
         self.tokenize = tokenizer.model.tokenize
-        self.marks = {m: self._any(m) for m in ".,!?;:"}
+        self.marks: dict[str, bytes] = {}
 
     def _any(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= REMEMBERED // 64:
+                self.marks.clear()
+            self.marks[marks] = self._any(marks)
+        return self.marks[marks]
+
     def age(self) -> None:
         if len(self) > REMEMBERED // 2:
             self.older = dict(self)
@@ -52,18 +61,19 @@ class _Words(dict):
         if word in self.older:
             ids = self[word] = self.older.pop(word)
             return ids
-        mark = self.marks.get(word[-1:])
-        core = word if mark is None else word[:-1]
+        core = word.rstrip(MARKS)
         plain = core.isascii()
         low = core.lower() if self.lower else core
-        # Latin letters whose lower case is letters too are one pre-token of the model, and a mark behind them another.
-        if not (core.isalpha() and (plain or max(core) < "ɐ" and low.isalpha())):
+        # Latin letters whose lower case is letters too are one pre-token of the model, and marks behind them another.
+        if not (core.isalpha() and (plain or max(core) < "ɐ" and low.isalpha())) or len(word) - len(core) > MOST_MARKS:
             ids = self._any(self.prefix + word)
-        elif mark is None:
+        elif core != word:
+            ids = self[core] + self._mark(word[len(core) :])
+        elif low != core:
+            ids = self[low]
+        else:
             pieces = [t.id for t in self.tokenize(self.lead + (low if plain else low.encode().decode("latin-1").translate(_LETTERS)))]
             ids = struct.pack(f"<{len(pieces)}I", *pieces)
-        else:
-            ids = self[core] + mark
         if len(word) <= SHORT:
             self[word] = ids
         return ids

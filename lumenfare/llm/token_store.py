@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,13 @@ from lumenfare.llm.common import durable, prepare
 from lumenfare.llm.encoding import encoder
 
 BLOCK_IDS = 1 << 16
-#: Characters of text that a part of the store holds, about.
-PART_CHARS = 1 << 24
+#: Bytes of text that a part of the store holds, about.
+PART_BYTES = 1 << 24
 #: Places of so many parts are broadcast, a few MB; of more, joined by shuffle.
 BROADCAST_PARTS = 200_000
 _BLOCKS = "part int, block int, first long, width int, low bigint, high bigint, doc_ids array<bigint>, offsets array<bigint>, payload binary"
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("width", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+_PLACE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def width_of(vocabulary: int) -> int:
@@ -61,23 +64,23 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1
     """
     prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part = encoder(tokenizer, False), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         width = width_of(max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
         ids, held, size, first, block = [], [], 0, 0, 0
 
-        def row() -> pd.DataFrame:
+        def row() -> pa.RecordBatch:
             offsets = np.cumsum([0] + [len(x) // 4 for x in ids])
             payload = pack_bits(np.frombuffer(b"".join(ids), "<u4"), width)
             known = [x for x in held if x is not None]
-            ends = pd.array([min(known, default=None), max(known, default=None)], "Int64")
-            return pd.DataFrame({"part": [part], "block": [block], "first": [first], "width": [width], "low": ends[:1], "high": ends[1:], "doc_ids": [held], "offsets": [offsets], "payload": [payload]})
+            values = (part, block, first, width, min(known, default=None), max(known, default=None), held, offsets, payload)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _BLOCK)], schema=_BLOCK)
 
-        for pdf in frames:
-            for doc_id, x in zip(pdf.doc_id.astype("Int64").tolist(), enc.encode(pdf.text.tolist())):
-                held.append(None if doc_id is pd.NA else doc_id)
+        for batch in frames:
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+                held.append(doc_id)
                 ids.append(x + end)
                 size += len(x) // 4 + 1
                 if size >= BLOCK_IDS:
@@ -86,8 +89,8 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1
         if ids:
             yield row()
 
-    dealt = texts.repartitionByRange(max(1, -(-chars // PART_CHARS)), F.asc_nulls_first("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    dealt.mapInPandas(emit, _BLOCKS).write.option("compression", "zstd").parquet(path)
+    dealt = texts.repartitionByRange(max(1, -(-size // PART_BYTES)), F.asc_nulls_first("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    dealt.mapInArrow(emit, _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -99,17 +102,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     ends = durable(blocks.groupBy("part").agg(F.max(F.col("first") + F.element_at("offsets", -1)).alias("ids")))
     base = ends.select("part", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for begin, width, doc_ids, offsets, payload in zip(pdf.begin, pdf.width, pdf.doc_ids, pdf.offsets, pdf.payload):
-                raw, at = unpack_bits(payload, width, 0, int(offsets[-1])).astype("<u4").tobytes(), np.asarray(offsets)
-                out = pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in doc_ids], "Int64"), "start": begin + at[:-1], "n_tokens": np.diff(at)})
-                out["ids_crc32"] = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield out
+    def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for begin, width, doc_ids, offsets, payload in zip(*batch.columns):
+                at = offsets.values.to_numpy()
+                raw = memoryview(unpack_bits(payload.as_py(), width.as_py(), 0, int(at[-1])).astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(begin.as_py() + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=_PLACE)
 
     side = F.broadcast(base) if ends.count() <= BROADCAST_PARTS else base
     placed = blocks.join(side, "part").select((F.col("base") + F.col("first")).alias("begin"), "width", "doc_ids", "offsets", "payload")
-    return placed.mapInPandas(emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 #: Spans of ids that one read asks Parquet for; the gaps between more than so many ids are closed, the widest last.

@@ -680,6 +680,23 @@ def test_encoder_equals_library_on_all_of_unicode(name, spaced):
         assert np.frombuffer(got, "<u4").tolist() == want.ids, ascii(text)
 
 
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_marks_behind_words_are_looked_up_apart(name, spaced):
+    """Words with several marks or capitals have the library's ids, and the library is asked for their marks alone."""
+    from tokenizers import Tokenizer
+
+    from lumenfare.llm.encoding import Encoder
+
+    words = ["ended", "Ended", "ENDED", "Èoie", "èoie"]
+    texts = [" ".join(w + m for w in words for m in ("", ".", ".###", ",%%%", "***", "?!?!", "$$$$$$$$")) for _ in range(2)]
+    e, asked = Encoder(tokenizer(name), spaced), []
+    for known in {id(x): x for x in (e.first, e.later)}.values():
+        known._any = lambda text, f=known._any: (asked.append(text), f(text))[1]
+    t = Tokenizer.from_file(tokenizer(name))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert asked and not any(c.isalpha() for text in asked for c in text)
+
+
 def test_encoder_forgets_in_turn(monkeypatch):
     from lumenfare.llm import encoding
 
