@@ -428,6 +428,28 @@ def test_html_articles_stay_whole(spark):
     assert got == {1: (f"one\n{line}", 0), 2: ("two", 0), 3: ("three", 0), 4: ("four", 13)}
 
 
+def test_html_notices_in_articles_go(spark):
+    """Two blocks in a row that articles of different headings hold, and that pages show outside theirs, are a notice; an
+    article's opening in lists, one block, a stretch of one heading, of articles only, or that boxes hold as one, stay."""
+    notice = ["read more of us every week in your own letter box", "sign up below"]
+    lead, other = ["a long first line which lists of this host quote in full", "and its second line"], ["only articles hold this line of quite a few words", "with this one behind"]
+    p = lambda *lines: "".join(f"<p>{x}</p>" for x in lines)
+    article = lambda *lines: f"<article>{p(*lines)}</article>"
+    bodies = [
+        article("one", "text", *notice, "end"), article("two", *notice), article("three", "x", notice[0]), article("four", *other), article("five", *other),
+        article("own box", *notice) + p(*notice), article("six") + f"<footer>{p(*notice)}</footer>", p("seven", *lead), p("eight", *lead), article(*lead, "nine"), article("ten", *lead), article("ten", *lead, "again"),
+    ]
+    pages = [(i, "http://h.example/1", b) for i, b in enumerate(bodies)] + [(20, "http://g.example/", article("one", *notice))]
+    box = [(30 + i, "http://b.example/", article(h, *notice) + f"<div class='ad'>{' '.join(notice)}</div>") for i, h in enumerate(("one", "two", "three"))]
+    pages += box
+    got = {r.page_id: (r.text, r.repeated_words) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    n = len(" ".join(notice).split())
+    want = {0: ("one\ntext\nend", n), 1: ("two", n), 2: ("three\nx\n" + notice[0], 0), 5: ("own box", n), 6: ("six", 0), 7: ("seven", 16), 8: ("eight", 16), 20: ("\n".join(["one", *notice]), 0)}
+    want |= {k: ("\n".join([h, *other]), 0) for k, h in ((3, "four"), (4, "five"))} | {9: ("\n".join([*lead, "nine"]), 0), 10: ("\n".join(["ten", *lead]), 0), 11: ("\n".join(["ten", *lead, "again"]), 0)}
+    want |= {30 + i: ("\n".join([h, *notice]), 0) for i, h in enumerate(("one", "two", "three"))}
+    assert got == want
+
+
 def plain_extract(pages):
     """Repeated runs by comparing all pages of a host with each other, window by window."""
     parsed = [(i, html_text.host_of(u), html_text.blocks(h or ""), (i, u, h)) for i, u, h in pages]
