@@ -104,15 +104,16 @@ def _at(day: Column, hour: int) -> Column:
 
 def announced_date(text: Column, now: Column, hour: int = 20) -> Column:
     """The first rung that holds: `17. sep 2025`; `17. sep`, next year's if past; a weekday, the next one and never
-    today. Days of months begin at `hour`, weekdays keep the time of now."""
-    full = lambda low: _first(_matches(low, r"(\d{1,2})\.?\s*([a-zæøå]+)\.?\s*(\d{4})", 3), lambda m: _date(_number(m["g3"]), month_of(m["g2"]), _number(m["g1"])))
+    today. Days of months begin at `hour`, weekdays keep the time of now. A day and what ends its date stand at the ends
+    of words, so that 4e9feb9c is no 9th of February."""
+    full = lambda low: _first(_matches(low, r"(?<![\p{L}\p{N}])(\d{1,2})\.?\s*([a-zæøå]+)\.?\s*(\d{4})(?![\p{L}\p{N}])", 3), lambda m: _date(_number(m["g3"]), month_of(m["g2"]), _number(m["g1"])))
 
     def rolled(m: Column) -> Column:
         month, day = month_of(m["g2"]), _number(m["g1"])
         past = (month < F.month(now)) | ((month == F.month(now)) & (day < F.day(now)))
         return _date(F.year(now) + F.when(past, 1).otherwise(0), month, day)
 
-    short = lambda low: _first(_matches(low, r"(\d{1,2})\.?\s*([a-zæøå]+)(?!\s*\d{4})", 2), rolled)
+    short = lambda low: _first(_matches(low, r"(?<![\p{L}\p{N}])(\d{1,2})\.?\s*([a-zæøå]+)(?![\p{L}\p{N}]|\s*\d{4})", 2), rolled)
     weekday = lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(name)), F.lit(k)) for name, k in WEEKDAYS.items()])
     ahead = lambda low: F.pmod(weekday(low) - 1 - F.weekday(now), F.lit(7)) + 1
     found = lambda low: F.coalesce(_at(full(low), hour), _at(short(low), hour), now + F.make_dt_interval(ahead(low).cast("int")))

@@ -44,7 +44,8 @@ def document_facts(spark, d):
     return t.select("doc_id", E.category(x).alias("category"), F.array_join(E.genres_in(x), ",").alias("genres"), E.venue_in(x).alias("venue"), E.price_phrase(x).alias("price_phrase"), E.price_in_kroner(x).alias("price"), F.array_join(E.artists_in(plain), ",").alias("artists"), F.size(E.capitalised(plain)).cast("long").alias("n_names"))
 
 
-#: A line with a date stands in the middle of each text, of one of ten forms by the document's number.
+#: A line with a date stands in the middle of each text, of one of ten forms by the document's number: behind the word
+#: that holds the middle, and between marks that no reader reads over, so that it takes no word apart and joins none.
 _D, _M, _Y = "(doc_id%28+1)::int", "(doc_id%12+1)::int", "(2024+doc_id%3)::int"
 _DAY = f"make_date({_Y},{_M},{_D})::timestamp"
 _NEXT = f"({NOW}+to_days((CASE WHEN doc_id%7=0 THEN 7 ELSE doc_id%7 END)::int))"
@@ -62,7 +63,8 @@ def _dated(spark, d):
     line = F.element_at(F.array(*forms), (k % 10 + 1).cast("int"))
     t = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(t) / 2).cast("int")
-    whole = F.concat(F.substring(t, F.lit(1), half), F.lit("\n"), line, F.lit("\n"), F.substring(t, half + 1, F.length(t)))
+    split = half + F.length(F.regexp_extract(F.substring(t, half + 1, F.length(t)), r"^\S*", 0))
+    whole = F.concat(F.substring(t, F.lit(1), split), F.lit("\n* "), line, F.lit(" *\n"), F.substring(t, split + 1, F.length(t)))
     return read(spark, d, "documents").select("doc_id", whole.alias("text"))
 
 
