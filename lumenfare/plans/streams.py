@@ -70,9 +70,9 @@ def ema_latency(spark, d):
 
 @query("WITH d AS (SELECT DISTINCT date_trunc('day', ts)::timestamp + to_days(k::int) AS day FROM events, range(0,7) t(k)) SELECT day, count(*) AS n, count(DISTINCT user_id) AS users FROM d JOIN events ON ts >= day - to_days(6) AND ts < day + to_days(1) WHERE day <= (SELECT max(ts) FROM events) GROUP BY day")
 def trailing_week_users(spark, d):
-    """Distinct users of the seven days that end on each day, by union of one sketch a day that a stream keeps. The SQL
-    counts exactly, which sketches do too while they hold less than some two thousand users; beyond, they estimate."""
-    r = K.trailing(drained(spark, d, K.daily_sketches, ["day"]), 7)
+    """Distinct users of the seven days that end on each day, by union of the bitmaps of each day's users that a stream
+    keeps. They count exactly, as the SQL does."""
+    r = K.trailing_users(drained(spark, d, K.daily_users, ["day", "part"]), 7)
     return r.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", "users")
 
 

@@ -34,3 +34,9 @@ def test_references_without_a_semicolon_stand(spark, tmp_path):
     from lumenfare.sources.elements import page_nodes
 
     assert page_nodes("&copy;&#233;&#xE9;&eacute &#233")[0][6] == "©éé&eacute &#233"
+
+
+def test_trailing_users_are_counted_exactly(spark, tmp_path):
+    k = F.col("event_id")
+    e = spark.range(40000).withColumnRenamed("id", "event_id").select(k, (F.timestamp_seconds(1704067200 + k * 30).cast("timestamp_ntz")).alias("ts"), F.when(k % 101 > 0, F.xxhash64(k) % 40000).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    assert differences(spark, tmp_path, "trailing_week_users", events=e) == ([], [], 14)
