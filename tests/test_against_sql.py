@@ -40,3 +40,13 @@ def test_trailing_users_are_counted_exactly(spark, tmp_path):
     k = F.col("event_id")
     e = spark.range(40000).withColumnRenamed("id", "event_id").select(k, (F.timestamp_seconds(1704067200 + k * 30).cast("timestamp_ntz")).alias("ts"), F.when(k % 101 > 0, F.xxhash64(k) % 40000).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
     assert differences(spark, tmp_path, "trailing_week_users", events=e) == ([], [], 14)
+
+
+def test_weights_that_cancel_are_not_positive(spark):
+    from lumenfare.operators.recommend import training_weights
+
+    # In this order doubles leave 1.1e-16.
+    cancel = [("went", 1.0), ("dislike", None), ("dislike", None), ("went", 1.0), ("dislike", None), ("went", 3.0)]
+    rows = [(u, 1, *x) for u in range(4) for x in cancel[u:] + cancel[:u]] + [(4, 1, "save", None), (4, 1, "went", 1.0)]
+    i = spark.createDataFrame(rows, "user_id long, event_id long, kind string, rating double").coalesce(1)
+    assert sorted(map(tuple, training_weights(i).collect())) == [(u, 1, 0.0, False) for u in range(4)] + [(4, 1, 1.1, True)]
