@@ -1,6 +1,13 @@
 """Scores of many pairs, made in blocks, against plain loops."""
 
+import math
+import random
+
+import pytest
+
+from lumenfare.operators import blocks
 from lumenfare.operators import collaborative as L
+from lumenfare.operators import recommend as R
 
 
 def test_shared_keys_broadcast_or_dealt(spark):
@@ -26,3 +33,34 @@ def test_cascade_sums_no_pairs(spark):
     plan = registry.queries()["model_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     events = [line for line in plan.split("\n") if "Aggregate" in line and "event_id" in line]
     assert not events
+
+
+def best(scores, k):
+    """(row, other, score) of each row's k best by rounded score, ties by id; scores: by (row, other)."""
+    rows = {}
+    for (a, b), s in scores.items():
+        rows.setdefault(a, []).append((-round(s, 6), b))
+    return sorted((a, b, -s) for a, x in rows.items() for s, b in sorted(x)[:k])
+
+
+@pytest.mark.parametrize("size", [4_000_000, 50])
+def test_nearest_of_odd_vectors(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "PAIRS", size)
+    rng = random.Random(4)
+    v = {i: [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)] for i in range(70)} | {100 + i: [1.0, 1.0, 1.0] for i in range(30)}
+    v |= {200: None, 201: [1.0, None, 2.0], 202: [], 203: [0.0] * 3, 204: [1.0, 2.0], 205: [3.0, 1.0], 206: [1e-170] * 3, 207: [-1e-170, 0.0, 0.0], 210: [2.0, 4.0], 215: None}
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b:
+            return 0.0
+        dot = lambda x, y: sum(i * j for i, j in zip(x, y))
+        n = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+        return dot(a, b) / n if n > 0 else 0.0
+
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    want = best({(a, b): cosine(v[a], v[b]) for a in v if a % 5 == 0 for b in v if a != b}, 4)
+    for most, parts in ((100, None), (7, 3)):
+        got = sorted((r.query_id, r.vec_id, r.score) for r in R.nearest(df, df.where("vec_id % 5 = 0"), 4, most, parts).collect())
+        assert got == want
+    few = df.where("vec_id in (0, 1, 5)")
+    assert R.nearest(few, few.where("vec_id = 0"), 4).count() == 2 and R.nearest(few, few.where("vec_id = 9"), 4).count() == 0
