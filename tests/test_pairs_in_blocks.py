@@ -64,3 +64,19 @@ def test_nearest_of_odd_vectors(spark, monkeypatch, size):
         assert got == want
     few = df.where("vec_id in (0, 1, 5)")
     assert R.nearest(few, few.where("vec_id = 0"), 4).count() == 2 and R.nearest(few, few.where("vec_id = 9"), 4).count() == 0
+
+
+@pytest.mark.parametrize("size,columns", [(4_000_000, 128), (60, 4)])
+def test_users_alike(spark, monkeypatch, size, columns):
+    monkeypatch.setattr(blocks, "PAIRS", size)
+    monkeypatch.setattr(blocks, "COLUMNS", columns)
+    rng = random.Random(6)
+    w = {u: {rng.randrange(30) ** 2: rng.choice([-0.5, 1.0, 2.0]) for _ in range(rng.randrange(1, 6))} for u in range(80)}
+    w |= {90: {10_000: 1.0}, 91: {10_000: 0.0}, 92: {0: -1.0, 1: -1.0}}
+    unit = {u: {e: x / math.sqrt(sum(y * y for y in m.values())) for e, x in m.items()} for u, m in w.items() if any(m.values())}
+    want = best({(a, b): sum(x * unit[b][e] for e, x in unit[a].items() if e in unit[b]) for a in unit if a % 10 == 0 or a == 92 for b in unit if a != b and unit[a].keys() & unit[b].keys()}, 5)
+    df = spark.createDataFrame([(u, e, x) for u, m in w.items() for e, x in m.items()], "user_id long, event_id long, w double")
+    for most in (1_000_000, 9):
+        got = L.similar_users(df, df.where("user_id % 10 = 0 or user_id = 92"), 5, most)
+        assert sorted((r.user_id, r.other_id, r.score) for r in got.collect()) == want
+    assert not any(u == 90 for u, _, _ in want)
