@@ -175,37 +175,73 @@ def best_offsets(a: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, n
 
 
 def _aligned(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """best_offsets of each query; every offset of every other is compared."""
+    """best_offsets of each query. Every other that some offset can align is compared at every offset: those that stay
+    within MOST_ERROR at an offset of LEAST_COVER, and those that hold LEAST_HITS integers of the query anywhere."""
     size = np.array([len(b) for b in others])
     n, k = int(size.max()), len(others)
-    stack, inside = np.zeros((n, k), np.uint32), None
+    whole, within = np.zeros((n, k), np.uint32), np.arange(n)[:, None] < size
     for c, b in enumerate(others):
-        stack[: len(b), c] = b
-    if size.min() < n:
-        inside = (np.arange(n)[:, None] < size).astype(np.uint8)
+        whole[: len(b), c] = b
+    values, code = np.unique(whole, return_inverse=True)
+    code, bands = code.reshape(n, k).astype(np.int32), {}
     for a in queries:
         m = len(a)
-        offset = np.arange(1 - m, n)
-        overlap = np.minimum(m, size - offset[:, None]) - np.maximum(0, -offset)[:, None]
-        kind = np.uint16 if min(m, n) < 2048 else np.uint32
-        wrong = np.zeros((m + n - 1, k), kind)
+        if m not in bands:
+            bands[m] = _band(m, size)
+        low, limit = bands[m]
+        wrong = np.zeros(limit.shape, np.uint16 if min(m, n) < 2048 else np.uint32)
         for i in range(m):
-            bits = np.bitwise_count(stack ^ a[i])
-            wrong[m - 1 - i : m - 1 - i + n] += bits if inside is None else bits * inside
-        covers = overlap >= LEAST_COVER * np.minimum(m, size)
-        allowed = (covers | (overlap >= LEAST_HITS)) & (wrong <= (MOST_ERROR + 5e-5) * 32 * overlap)
-        which = np.flatnonzero(allowed.any(0))
-        allowed, covers, part, within = allowed[:, which], covers[:, which], stack[:, which], None if inside is None else inside[:, which]
-        hits = np.zeros((m + n - 1, len(which)), np.int32)
-        for i in range(m):
-            same = part == a[i]
-            hits[m - 1 - i : m - 1 - i + n] += same if within is None else same & (within > 0)
-        hits[~(allowed & (covers | (hits >= LEAST_HITS)))] = -1
-        keep = hits.max(0, initial=-1) >= 0
-        which, hits = which[keep], hits[:, keep]
-        error = np.where(hits == hits.max(0, initial=-1), wrong[:, which] / (32.0 * np.maximum(overlap[:, which], 1)), np.inf)
-        at, here = error.argmin(0), np.arange(len(which))
-        yield which, offset[at], hits[at, here], np.floor(error[at, here] * 1e4 + 0.5).astype(np.int32)
+            begin, end = max(0, i + low), min(n, i + low + len(limit))
+            if begin < end:
+                bits = np.bitwise_count(whole[begin:end] ^ a[i])
+                wrong[begin - i - low : end - i - low] += bits if size.min() == n else bits * within[begin:end]
+        held, at = np.zeros(len(values), bool), np.searchsorted(values, a)
+        held[at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == a)]] = True
+        hit = (held[code] & within).sum(0) >= LEAST_HITS
+        may = np.flatnonzero((wrong <= limit).any(0) | hit)
+        which, *rest = _compared(a, whole[:, may], size[may])
+        yield may[which], *rest
+
+
+def _band(m: int, size: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first offset at which a query of m integers covers LEAST_COVER of the shorter recording for any of the sizes,
+    and, for each offset from there to the last such one and each size, the most wrong bits that a match by its cover may
+    have (-1: the cover is less)."""
+    offset = np.arange(1 - m, int(size.max()))
+    overlap = np.minimum(m, size - offset[:, None]) - np.maximum(0, -offset)[:, None]
+    covers = overlap >= LEAST_COVER * np.minimum(m, size)
+    low, high = np.flatnonzero(covers.any(1))[[0, -1]]
+    most = np.where(covers, np.ceil((MOST_ERROR + 5e-5) * 32 * overlap), -1)[low : high + 1]
+    return int(offset[low]), most.astype(np.int64)
+
+
+def _compared(a: np.ndarray, stack: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """best_offsets of one query by all offsets; stack: the others as columns of as many integers as size says."""
+    (n, k), m = stack.shape, len(a)
+    if not k:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    inside = (np.arange(n)[:, None] < size).astype(np.uint8) if size.min() < n else None
+    offset = np.arange(1 - m, n)
+    overlap = np.minimum(m, size - offset[:, None]) - np.maximum(0, -offset)[:, None]
+    kind = np.uint16 if min(m, n) < 2048 else np.uint32
+    wrong = np.zeros((m + n - 1, k), kind)
+    for i in range(m):
+        bits = np.bitwise_count(stack ^ a[i])
+        wrong[m - 1 - i : m - 1 - i + n] += bits if inside is None else bits * inside
+    covers = overlap >= LEAST_COVER * np.minimum(m, size)
+    allowed = (covers | (overlap >= LEAST_HITS)) & (wrong <= (MOST_ERROR + 5e-5) * 32 * overlap)
+    which = np.flatnonzero(allowed.any(0))
+    allowed, covers, part, within = allowed[:, which], covers[:, which], stack[:, which], None if inside is None else inside[:, which]
+    hits = np.zeros((m + n - 1, len(which)), np.int32)
+    for i in range(m):
+        same = part == a[i]
+        hits[m - 1 - i : m - 1 - i + n] += same if within is None else same & (within > 0)
+    hits[~(allowed & (covers | (hits >= LEAST_HITS)))] = -1
+    keep = hits.max(0, initial=-1) >= 0
+    which, hits = which[keep], hits[:, keep]
+    error = np.where(hits == hits.max(0, initial=-1), wrong[:, which] / (32.0 * np.maximum(overlap[:, which], 1)), np.inf)
+    at, here = error.argmin(0), np.arange(len(which))
+    return which, offset[at], hits[at, here], np.floor(error[at, here] * 1e4 + 0.5).astype(np.int32)
 
 
 def _meet(key: tuple, queries: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +272,8 @@ def align(recordings: DataFrame, every: int = 50) -> DataFrame:
     offset: frames by which the class lags; hits: equal integers at it; error: share of differing bits to 4 places over
     the overlap. Classes align when some offset has at most MOST_ERROR and either LEAST_HITS or an overlap of LEAST_COVER
     of the shorter one; of such offsets the one of most hits is given, then of least error, then the smallest. All
-    offsets of all classes are compared, so no such pair is missed, at a cost of queries times classes.
+    offsets that can hold such a match are compared for all classes, so no pair is missed, at a cost of queries times
+    classes.
     Only classes move in the search, so copies are never paired. Rows of null id have no class and no matches; media
     without samples are one class that aligns with none; repeated rows keep a row each.
     """
